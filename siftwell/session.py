@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +29,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python once a session, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if not getattr(context, "_siftwell_shipped", False):
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="siftwell-")) / "siftwell.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(path))
+        context._siftwell_shipped = True
+    return spark
