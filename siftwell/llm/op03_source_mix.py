@@ -37,16 +37,8 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["of_source"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
-    """How many words the mix takes from each document.
-
-    ``docs`` has doc_id, text, source. A source whose target is q times its size and a rest gives every document q
-    times, and once more those documents whose id hashes below the source's threshold: token sums by hash bucket find
-    the bucket in which the rest is used up, and only that bucket is split further, until one hash value is left,
-    which is in if that comes nearer to the target. Result: doc_id, size, source_size, target, taken, copies, source;
-    one row a row. A null or empty text has size 0 and takes 0; a null source is a source of its own, last; rows of
-    equal id share their fate within a source; reruns agree; an empty table gives an empty result.
-    """
+def _bounds(docs: DataFrame, weights: tuple[int, ...], most: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(sizes and hashes of the documents; of each source its target, whole copies and the hash below which one more is taken)."""
     sized = stash(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), unit_hash(F.col("doc_id")).alias("h")), "op3-sizes")
     goal = targets(sized, weights, most, share)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
@@ -64,7 +56,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     near = (F.col("upto") - F.col("rest") < F.col("rest") - F.col("used")).cast("long")
     edge = state.select("of_source", (F.col("prefix") + near).alias("below"))
     bound = goal.alias("g").join(edge.alias("e"), F.col("g.of_source").eqNullSafe(F.col("e.of_source")), "left").select("g.of_source", "g.source_size", "g.target", "g.whole", F.coalesce("e.below", F.lit(0)).alias("below"))
-    out = join_small_null(sized, stash(bound, "op3-bounds"))
+    return sized, stash(bound, "op3-bounds")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and, last, mix_copies; as ``mix`` otherwise."""
+    _, bound = _bounds(docs, weights, most, share)
+    held = docs.select(F.struct("*").alias("_row"), "source", unit_hash(F.col("doc_id")).alias("h"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("some"))
+    rows = join_small_null(held, bound).withColumn("mix_copies", F.when(F.col("some"), F.col("whole") + (F.col("h") < F.col("below")).cast("long")).otherwise(0))
+    return rows.where("mix_copies > 0").select("_row.*", "mix_copies")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
+    """How many words the mix takes from each document.
+
+    ``docs`` has doc_id, text, source. A source whose target is q times its size and a rest gives every document q
+    times, and once more those documents whose id hashes below the source's threshold: token sums by hash bucket find
+    the bucket in which the rest is used up, and only that bucket is split further, until one hash value is left,
+    which is in if that comes nearer to the target. Result: doc_id, size, source_size, target, taken, copies, source;
+    one row a row. A null or empty text has size 0 and takes 0; a null source is a source of its own, last; rows of
+    equal id share their fate within a source; reruns agree; an empty table gives an empty result.
+    """
+    sized, bound = _bounds(docs, weights, most, share)
+    out = join_small_null(sized, bound)
     copies = F.col("whole") + F.when(F.col("size") > 0, (F.col("h") < F.col("below")).cast("long")).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 

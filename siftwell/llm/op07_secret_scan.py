@@ -82,8 +82,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, smooth: float = 0.5) -> list[fl
     return out
 
 
-def secret_scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """doc_id and findings (array of start, kind, end, what; by start and kind) of each row of ``docs`` (doc_id, text).
+def secret_scan(docs: DataFrame, model: list[float] | None = None, keep: str = "doc_id") -> DataFrame:
+    """``keep`` (doc_id) and findings (array of start, kind, end, what; by start and kind) of each row of ``docs`` (doc_id, text).
 
     Positions are code points, end exclusive. A null or empty text has no findings; long texts are scanned whole;
     repeated rows are judged alike; other columns are not read; without any text the model falls back to even odds and
@@ -91,9 +91,9 @@ def secret_scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """
     model = train(docs) if model is None else model
     table = F.expr("cast(split('" + ",".join(f"{x:.6g}" for x in model) + "', ',') as array<double>)")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    rows = docs.select(keep, F.coalesce(F.col("text"), F.lit("")).alias("text")).select(keep, "text", base_spans(F.col("text")).alias("base"))
     found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    rows = rows.select("doc_id", "base", _located(F.col("text"), found, 3).alias("maybe"))
+    rows = rows.select(keep, "base", _located(F.col("text"), found, 3).alias("maybe"))
 
     def random(s: Column) -> Column:
         def judged(c: Column) -> Column:
@@ -103,7 +103,7 @@ def secret_scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
         free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return free & let(_codes(s["what"]), judged)
 
-    return rows.select("doc_id", "base", F.when(F.size("maybe") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter("maybe", random)))).alias("findings"))
+    return rows.select(keep, "base", F.when(F.size("maybe") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter("maybe", random)))).alias("findings"))
 
 
 def _text(spans: Column) -> Column:
@@ -111,6 +111,28 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def masked(text: Column, findings: Column, mark: str = "[secret]") -> Column:
+    """``text`` with every stretch of findings replaced by ``mark``."""
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(findings, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with all findings masked in the text, and n_chars, where there is such a column, brought in line."""
+    model = train(docs)
+    rows = secret_scan(docs.select(F.struct("*").alias("_row"), "text"), model, "_row")
+    text = masked(F.col("_row.text"), F.col("findings"))
+    out = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.size("findings") == 0, F.col("_row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in out.items()])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     rows = secret_scan(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -82,6 +82,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: int =
     return best
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a leak, with all their columns."""
+    rid = F.xxhash64("doc_id", "text")
+    bad = stash(leaks(docs.select(rid.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("rid")).distinct(), "op9-bad")
+    held = docs.select(F.struct("*").alias("_row"), rid.alias("rid"))
+    return join_small(held, bad, ["rid"], "left_anti").select("_row.*")
+
+
 ORACLE = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 i0 AS (SELECT item_id, w, len(w) AS L, least(len(w), 5) AS n FROM b WHERE len(w) > 0),
