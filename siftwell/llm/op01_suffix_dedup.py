@@ -22,7 +22,7 @@ from .kernel import BYTE_VALUE, Prefix, mix, text_chunks
 from .repeats import Front, identified, join_small, merged, repeated_spans
 
 #: Bytes of the rolling hash, and one border in how many bytes.
-TRIGGER, PHRASE_BITS = 8, 5
+TRIGGER, PHRASE_BITS = 8, 4
 
 
 def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +30,7 @@ def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _front(window: int, grid: int = 0) -> Front:
-    reach = window // 4
+    reach = window // 8
 
     def symbols(data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray, values: np.ndarray, prefix: Prefix):
         n = len(data)
