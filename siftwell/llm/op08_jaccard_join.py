@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join over a token-group matrix.
 
 Documents are sets of shingle fingerprints; equal sets are one. If two sets have a Jaccard similarity of 0.75, each
-holds a shared token among its first quarter under any one order of tokens. Tokens that a bounded sample finds frequent
+holds a shared token among its first quarter under any one order of tokens. Tokens that a sample finds frequent
 come last in that order, so passages that many documents share don't bring these together.
 
 1. Groups: per token, every set is compared with the first set that has the token; linked sets form groups.
@@ -28,8 +28,9 @@ from .store import join_small, stash
 
 WORDS, PERCENT = 5, 75
 _NO_ID = (1 << 63) - 1
-#: Sample that finds frequent tokens: documents, least documents of the sample that have one, and tokens at most.
-SAMPLE, FREQUENT, MOST = 4000, 6, 200_000
+#: Frequent tokens: counted in one of how many documents, least count there, and tokens at most (the most frequent).
+#: They only set the order of tokens; any set of them gives the same result.
+SAMPLE, FREQUENT, MOST = 8, 3, 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -167,8 +168,7 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
     """(doc_id, rid, id, n of each row; id, doc, rid, root of each distinct set): rows of one id have equal sets."""
     rows = identified(docs).select("doc_id", "rid", "text")
     per = stash(rows.mapInArrow(_summary(n), "doc_id long, rid long, id long, n long"), f"{tag}-sets")
-    some = per.select("rid", "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "rid").limit(SAMPLE).select("rid").distinct()
-    counted = rows.join(F.broadcast(some), "rid").dropDuplicates(["rid"]).mapInArrow(_sample_tokens(n), "token long").groupBy("token").count()
+    counted = rows.where(F.pmod("rid", F.lit(SAMPLE)) == 0).mapInArrow(_sample_tokens(n), "token long").groupBy("token").count()
     frequent = np.sort(counted.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
     sizes = per.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "rid")).alias("x")).select("id", "n", "x.doc", "x.rid")
