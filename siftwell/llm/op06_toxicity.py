@@ -68,7 +68,8 @@ class Chain:
         used: set[int] = set()
         for y in labels.T:
             pos = np.bincount(np.concatenate([np.zeros(0, int), *(r for r, v in zip(rows, y, strict=True) if v)]), minlength=len(words))
-            g = _evidence(pos, total - pos, max(y.sum(), 1e-9), max(len(y) - y.sum(), 1e-9))
+            n, m = max(y.sum(), 1e-9), max(len(y) - y.sum(), 1e-9)
+            g = np.where(pos / n > (total - pos) / m, _evidence(pos, total - pos, n, m), 0.0)  # words that speak for it
             used.update(i for i in np.argsort(-g, kind="stable")[:FEATURES] if g[i] >= EVIDENCE)
         self.vocab = {words[i]: k for k, i in enumerate(sorted(used))}
         x = self.features(texts)
