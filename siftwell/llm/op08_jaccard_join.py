@@ -4,10 +4,16 @@ Documents are sets of shingle fingerprints; equal sets are one. If two sets have
 holds a shared token among its first quarter under any one order of tokens. Tokens that a sample finds frequent
 come last in that order, so passages that many documents share don't bring these together.
 
-1. Groups: per token, every set is compared with the first set that has the token; linked sets form groups.
-2. Token-group matrix: the union of first-quarter tokens of each group, as rows (token, group, least and most size).
-   A set's overlap with a foreign group is bounded by the matrix entries it meets; groups without any, or whose sizes
-   rule the threshold out, stay closed. Opened groups are compared set by set, where set and member meet at a token.
+If the first token two sets share stands at place i of one and j of the other, they share at most as many tokens as the
+smaller of what follows i and j; below the threshold, the two are not compared.
+
+1. Groups: per token, every set is compared with one set that has the token, its centre. Tokens take their centres by
+   one of ``CENTRES`` orders of the sets, so a large group of near copies meets a few centres, not one and not all;
+   linked sets form groups.
+2. Token-group matrix: the union of first-quarter tokens of each group, as rows (token, group, least and most size,
+   first place). A set's overlap with a foreign group is bounded by the matrix entries it meets; groups without any, or
+   whose sizes and places rule the threshold out, stay closed. Opened groups are compared set by set, where set and
+   member meet at a token and their own places allow it.
 
 Comparisons are exact. Pairs inside one group need no comparison, as they already have one component.
 """
@@ -18,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
 from .kernel import Prefix, lower_ascii, mix, text_chunks, word_hashes, words
-from .repeats import _i64, identified
+from .repeats import _i32, _i64, identified
 from .store import join_small, stash
 
 WORDS, PERCENT = 5, 75
@@ -31,6 +37,8 @@ _NO_ID = (1 << 63) - 1
 #: Frequent tokens: counted in one of how many documents, least count there, and tokens at most (the most frequent).
 #: They only set the order of tokens; any set of them gives the same result.
 SAMPLE, FREQUENT, MOST = 8, 3, 1_000_000
+#: Orders by which tokens take their centres. Any number gives the same result; more find larger groups at once.
+CENTRES = 6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -90,7 +98,7 @@ def _first_quarter(n: int, percent: int, frequent: np.ndarray):
         seen: set = set()
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch):
-                tokens, owner = [], []
+                tokens, owner, sizes, places = [], [], [], []
                 for s in shingle_sets(data, offsets, n):
                     if not len(s):
                         continue
@@ -99,7 +107,8 @@ def _first_quarter(n: int, percent: int, frequent: np.ndarray):
                         continue
                     if len(seen) < 200_000:
                         seen.add(me)
-                    k = len(s) - -(-percent * len(s) // 100) + 1
+                    size = len(s)
+                    k = size - -(-percent * size // 100) + 1
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         late = frequent[at] == s
@@ -108,8 +117,12 @@ def _first_quarter(n: int, percent: int, frequent: np.ndarray):
                         s = s[:k]
                     tokens.append(s)
                     owner.append(np.full(len(s), me, np.uint64))
+                    sizes.append(np.full(len(s), size))
+                    places.append(np.arange(len(s)))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([_i64(np.concatenate(tokens)), _i64(np.concatenate(owner))], ["token", "id"])
+                    yield pa.RecordBatch.from_arrays(
+                        [_i64(np.concatenate(tokens)), _i64(np.concatenate(owner)), _i32(np.concatenate(sizes)), _i32(np.concatenate(places))], ["token", "id", "n", "at"]
+                    )
 
     return run
 
@@ -173,17 +186,15 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
 
     sizes = per.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "rid")).alias("x")).select("id", "n", "x.doc", "x.rid")
     sizes = stash(sizes, f"{tag}-classes")
-    first = rows.select("text").mapInArrow(_first_quarter(n, percent, frequent), "token long, id long")
-    w = Window.partitionBy("token").orderBy("id")
-    met = first.select("token", "id", F.first("id").over(w).alias("rep"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
-    met = stash(met.where("id != prev or (prev is null and id != next) or (id = prev and id = rep and id != next)").select("token", "id", "rep"), f"{tag}-met")
-
-    known = sizes.select("id", "n")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    first = rows.select("text").mapInArrow(_first_quarter(n, percent, frequent), "token long, id long, n int, at int")
+    w = Window.partitionBy("token").orderBy(F.xxhash64("id", F.pmod("token", F.lit(CENTRES))), "id")
+    met = first.select("*", F.first(F.struct("id", "n", "at")).over(w).alias("rep"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
+    met = met.where("id != prev or (prev is null and id != next) or (id = prev and id = rep.id and id != next)").select("token", "id", "n", "at", "rep")
+    met = stash(met, f"{tag}-met")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        pairs = join_small(pairs, known.select(F.col("id").alias("a"), F.col("n").alias("na")), ["a"])
-        return join_small(pairs, known.select(F.col("id").alias("b"), F.col("n").alias("nb")), ["b"]).where(fits).select("a", "b")
+    def allowed(na: str, i: str, nb: str, j: str) -> Column:
+        """Whether sets of so many tokens, the first one they share at these places, can reach the threshold."""
+        return F.least(F.col(na) - F.col(i), F.col(nb) - F.col(j)) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sizes.select("id", "rid"), "id")
@@ -192,23 +203,24 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         return stash(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{tag}-{name}")
 
-    star = stash(sized(met.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()), f"{tag}-star")
+    star = met.where("id != rep.id").where(allowed("rep.n", "rep.at", "n", "at")).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"))
+    star = stash(star.distinct(), f"{tag}-star")
     links = verified(star, "links")
     group = components(links, f"{tag}-groups")
 
-    inside = met.select("token", "id").distinct().join(known, "id").join(group, "id", "left").select("token", "id", "n", F.coalesce("label", "id").alias("grp"))
+    inside = met.select("token", "id", "n", "at").join(group, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("grp"))
     inside = stash(inside, f"{tag}-inside")
-    matrix = inside.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = inside.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("place"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     matrix = stash(matrix.join(several, "token"), f"{tag}-matrix")
     asked = inside.join(several, "token", "left_semi")
-    other = matrix.select("token", F.col("grp").alias("far"), "least", "most")
-    open_ = asked.join(other, "token").where("grp < far").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
-    open_ = open_.select("token", F.col("id").alias("a"), F.col("n").alias("na"), "far")
-    member = asked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("far"))
-    pairs = open_.join(member, ["token", "far"]).where(fits).select("a", "b").distinct()
-    done = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = stash(pairs.join(done, ["a", "b"], "left_anti"), f"{tag}-opened")
+    other = matrix.select("token", F.col("grp").alias("far"), "least", "most", "place")
+    most = F.least(F.col("n") - F.col("at"), F.col("most") - F.col("place"))
+    open_ = asked.join(other, "token").where("grp < far").where(most * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    open_ = open_.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), "far")
+    member = asked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("grp").alias("far"))
+    pairs = open_.join(member, ["token", "far"]).where(allowed("na", "i", "nb", "j")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stash(pairs.join(star, ["a", "b"], "left_anti"), f"{tag}-opened")
     links = links.unionByName(verified(pairs, "more"))
 
     final = components(links, f"{tag}-final")
