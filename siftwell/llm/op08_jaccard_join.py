@@ -7,9 +7,8 @@ come last in that order, so passages that many documents share don't bring these
 If the first token two sets share stands at place i of one and j of the other, they share at most as many tokens as the
 smaller of what follows i and j; below the threshold, the two are not compared.
 
-1. Groups: per token, every set is compared with one set that has the token, its centre. Tokens take their centres by
-   one of ``CENTRES`` orders of the sets, so a large group of near copies meets a few centres, not one and not all;
-   linked sets form groups.
+1. Groups: per token, every set is compared with the token's centre, the set where it stands foremost: among near
+   copies, one with few tokens of its own, which most of them link to. Linked sets form groups.
 2. Token-group matrix: the union of first-quarter tokens of each group, as rows (token, group, least and most size,
    first place). A set's overlap with a foreign group is bounded by the matrix entries it meets; groups without any, or
    whose sizes and places rule the threshold out, stay closed. Opened groups are compared set by set, where set and
@@ -37,8 +36,6 @@ _NO_ID = (1 << 63) - 1
 #: Frequent tokens: counted in one of how many documents, least count there, and tokens at most (the most frequent).
 #: They only set the order of tokens; any set of them gives the same result.
 SAMPLE, FREQUENT, MOST = 8, 3, 1_000_000
-#: Orders by which tokens take their centres. Any number gives the same result; more find larger groups at once.
-CENTRES = 6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -187,7 +184,7 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
     sizes = per.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "rid")).alias("x")).select("id", "n", "x.doc", "x.rid")
     sizes = stash(sizes, f"{tag}-classes")
     first = rows.select("text").mapInArrow(_first_quarter(n, percent, frequent), "token long, id long, n int, at int")
-    w = Window.partitionBy("token").orderBy(F.xxhash64("id", F.pmod("token", F.lit(CENTRES))), "id")
+    w = Window.partitionBy("token").orderBy("at", "id")
     met = first.select("*", F.first(F.struct("id", "n", "at")).over(w).alias("rep"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
     met = met.where("id != prev or (prev is null and id != next) or (id = prev and id = rep.id and id != next)").select("token", "id", "n", "at", "rep")
     met = stash(met, f"{tag}-met")
