@@ -7,8 +7,7 @@ categories; for training these come from models fitted without the document's fo
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +55,17 @@ def _evidence(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
 class Chain:
     """``texts``: word sets; ``labels``: a column of 0 and 1 for each category."""
 
-    def __init__(self, texts: list[set[str]], labels: np.ndarray, names: list[str], folds: int = FOLDS) -> None:
+    def __init__(self, texts: Iterable[set[str]], labels: np.ndarray, names: list[str], folds: int = FOLDS) -> None:
         self.names, self.weights, self.vocab = names, [], {}
-        if not len(texts):
+        known: dict[str, int] = {}
+        rows = [np.fromiter((known.setdefault(w, len(known)) for w in t), np.int32, len(t)) for t in texts]  # no word set outlives its text
+        if not rows:
             return
-        df = Counter(w for t in texts for w in t)
-        words = sorted(w for w, c in df.items() if c >= 3)
-        at = {w: i for i, w in enumerate(words)}
-        rows = [np.array([at[w] for w in t if w in at], int) for t in texts]
+        df = np.bincount(np.concatenate(rows), minlength=len(known))
+        words = sorted(w for w, i in known.items() if df[i] >= 3)
+        at = np.full(len(known), -1, np.int32)
+        at[np.array([known[w] for w in words], int)] = np.arange(len(words))
+        rows = [r[r >= 0] for r in (at[r] for r in rows)]
         total = np.bincount(np.concatenate(rows), minlength=len(words)) if words else np.zeros(0)
         used: set[int] = set()
         for y in labels.T:
@@ -72,8 +74,12 @@ class Chain:
             g = np.where(pos / n > (total - pos) / m, _evidence(pos, total - pos, n, m), 0.0)  # words that speak for it
             used.update(i for i in np.argsort(-g, kind="stable")[:FEATURES] if g[i] >= EVIDENCE)
         self.vocab = {words[i]: k for k, i in enumerate(sorted(used))}
-        x = self.features(texts)
-        fold = np.arange(len(texts)) % folds
+        slot = np.full(len(words), -1)
+        slot[np.array(sorted(used), int)] = np.arange(len(used))
+        x = np.zeros((len(rows), len(used)))
+        for i, r in enumerate(rows):
+            x[i, slot[r][slot[r] >= 0]] = 1
+        fold = np.arange(len(rows)) % folds
         for y in labels.T:
             self.weights.append(fit_logistic(x, y))
             out = np.empty(len(y))
@@ -113,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, sa
     seen: dict[str, tuple] = {}
     for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.text)):
         seen.setdefault(r.text, tuple(r[n] for n in names))
-    return Chain([word_set(t) for t in seen], np.array(list(seen.values()), float).reshape(len(seen), len(names)), names)
+    return Chain((word_set(t) for t in seen), np.array(list(seen.values()), float).reshape(len(seen), len(names)), names)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, least: float = LEAST, model: Chain | None = None, keep: list[str] | None = None) -> DataFrame:
