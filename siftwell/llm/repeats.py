@@ -188,11 +188,14 @@ def _several(rows: DataFrame, by: list[str], earlier: bool) -> DataFrame:
 
 def _compare(rows: DataFrame, earlier: bool, tag: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows settled as repeats, one row for each kind of content among rows of one key that differ)."""
-    rows = stash(rows.join(_several(rows, ["key"], earlier), "key"), f"{tag}-shared")
+    # A table of its own, so that both sides of the join are plain exchanges and adaptive execution can split a hot key;
+    # these sides grow with the corpus, so they are sorted and merged at every size, never broadcast.
+    several = stash(_several(rows, ["key"], earlier), f"{tag}-several")
+    rows = stash(rows.join(several.hint("merge"), "key"), f"{tag}-shared")
     kinds = stash(
         rows.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.min(F.struct("doc", "rid", *fields)).alias("one")), f"{tag}-kinds"
     )
-    found = rows.join(kinds.where("n > 1").select("key", "whole", "least"), ["key", "whole"])
+    found = rows.join(kinds.where("n > 1").select("key", "whole", "least").hint("merge"), ["key", "whole"])
     found = found.where("doc > least") if earlier else found
     mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     return found.select("rid", "first", "last"), kinds.join(mixed, "key").select("one.*")
