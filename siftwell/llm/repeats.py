@@ -187,7 +187,8 @@ def _several(rows: DataFrame, by: list[str], earlier: bool) -> DataFrame:
 
 
 def _compare(rows: DataFrame, earlier: bool, tag: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows settled as repeats, one row for each kind of content among rows of one key that differ)."""
+    """(rows settled as repeats, rows to ask among those of one key that differ: one of each kind of content; for
+    ``earlier``, all rows of the kind's least document, as those do not settle each other)."""
     # A table of its own, so that both sides of the join are plain exchanges and adaptive execution can split a hot key;
     # these sides grow with the corpus, so they are sorted and merged at every size, never broadcast.
     several = stash(_several(rows, ["key"], earlier), f"{tag}-several")
@@ -198,7 +199,11 @@ def _compare(rows: DataFrame, earlier: bool, tag: str, fields: list[str]) -> tup
     found = rows.join(kinds.where("n > 1").select("key", "whole", "least").hint("merge"), ["key", "whole"])
     found = found.where("doc > least") if earlier else found
     mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    return found.select("rid", "first", "last"), kinds.join(mixed, "key").select("one.*")
+    kinds = kinds.join(mixed, "key")
+    if not earlier:
+        return found.select("rid", "first", "last"), kinds.select("one.*")
+    ask = rows.join(kinds.select("key", "whole", "least").hint("merge"), ["key", "whole"]).where("doc = least")
+    return found.select("rid", "first", "last"), ask.select("rid", *fields)
 
 
 def repeated_spans(docs: DataFrame, front: Front, earlier: bool, tag: str) -> DataFrame:

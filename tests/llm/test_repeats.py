@@ -86,3 +86,18 @@ def test_kept_text_and_empty(spark):
     assert [bytes(r.kept) for r in suffix_dedup(df, window=9, with_text=True).orderBy("doc_id").collect()] == [b"", b"z "]
     assert suffix_dedup(df.where("false")).count() == 0
     assert substring_dedup(df.where("false")).count() == 0
+
+
+def test_words_repeated_in_the_least_document(spark, k=50):
+    rng = random.Random(7)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for case in range(12):
+        a, n = words(3 * k), 10 * case
+        edition = a[: k + k // 2] + ["other"] + a[k + k // 2 + 1 :]
+        rows += [(n + 5, a + words(4) + a + a, "x", 1), (n + 3, words(5) + edition, "x", 1)]
+        rows += [(None, words(2) + a + words(3) + a, "x", 1), (None, words(case) + edition + edition, "x", 1)]
+        b = words(3 * k)
+        rows += [(None, words(3) + b + words(3) + b, "x", 1), (n + 4, words(6) + b[: 2 * k], "x", 1), (None, b[k // 2 :] + words(1), "x", 1)]
+    rows = [(i, " ".join(w), x, y) for i, w, x, y in rows]
+    assert rows_of(substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), window=k)) == sorted(brute_words(rows, k), key=repr)
