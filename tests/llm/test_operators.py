@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 pytest.importorskip("siftwell.llm")
@@ -79,6 +81,16 @@ def test_lm_compresses_held_out_text(spark):
     assert held and sum(r.bits_per_byte for r in held) < 3 * len(held)
 
 
+def test_lm_mixes_from_all_words(spark, monkeypatch):
+    monkeypatch.setattr(op5, "SHARD", 2000)
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(12_000)})
+    table = spark.createDataFrame([(i, w.encode(), 1) for i, w in enumerate(words)], "h long, word binary, c long")
+    mixers = [op5.train_mixer(table.repartition(n), len(words)) for n in (1, 5)]
+    assert all(m.size.sum() == 8 * sum(len(w) + 1 for w in words) for m in mixers)
+    assert np.allclose(mixers[0].weights, mixers[1].weights) and np.allclose(mixers[0].refined, mixers[1].refined)
+
+
 def test_toxicity(spark, docs):
     bad = [(1000 + i, f"{EN} you idiot and moron {i}", "en", "s", 1, 1, "x", "y") for i in range(40)]
     good = [(2000 + i, f"{EN} a nice day number {i}", "en", "s", 1, 1, "x", "y") for i in range(80)]
