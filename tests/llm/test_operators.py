@@ -91,6 +91,31 @@ def test_lm_mixes_from_all_words(spark, monkeypatch):
     assert np.allclose(mixers[0].weights, mixers[1].weights) and np.allclose(mixers[0].refined, mixers[1].refined)
 
 
+def test_lm_classes_from_all_documents(spark):
+    rng = random.Random(5)
+    texts = [" ".join([f"own{i % 900}"] + [f"t{i % 7}x{rng.randrange(8)}" for _ in range(25)]) for i in range(2400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").selectExpr("rid", "text", "false as held")
+    keys, table = op5.train_classes(df.repartition(3), steps=3)
+    names = sorted({w for t in texts for w in t.split()})
+    place = {w: i for i, w in enumerate(names)}
+    x = np.zeros((len(texts), len(names)))
+    for i, t in enumerate(texts):
+        for w in t.split():
+            x[i, place[w]] += 1
+    unit = np.sqrt(x / x.sum(axis=1, keepdims=True))
+    at = [0]
+    while len(at) < op5.CLASSES:
+        at.append(int((unit @ unit[at].T).max(axis=1).round(12).argmin()))
+    share = np.eye(op5.CLASSES)[(unit @ unit[at].T).argmax(axis=1)]
+    for _ in range(3):
+        want = share.T @ x + 0.5
+        want = np.log(want / want.sum(axis=1, keepdims=True)).T
+        fit = x @ want + np.log(share.mean(axis=0) + 1e-3)
+        share = np.exp(fit - fit.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+    assert len(keys) == len(names) and np.allclose(np.sort(table, axis=0), np.sort(want, axis=0))
+
+
 def test_toxicity(spark, docs):
     bad = [(1000 + i, f"{EN} you idiot and moron {i}", "en", "s", 1, 1, "x", "y") for i in range(40)]
     good = [(2000 + i, f"{EN} a nice day number {i}", "en", "s", 1, 1, "x", "y") for i in range(80)]
