@@ -165,13 +165,16 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the document of smallest id in each component; texts without
-    shingles all stay, and so do all rows of the staying id and text."""
+    """One row of ``docs``, with all its columns, of the document of smallest id in each component; of several rows of
+    that id and text (null ids with one text among them) the least stays. Texts without shingles all stay."""
     per, root = _classes(docs, n, percent, "near")
     first = root.groupBy("root").agg(F.min(F.struct("doc", "rid")).alias("x")).select("x.rid")
-    stay = stash(first.unionByName(per.where("n = 0").select("rid")).distinct(), "near-stay")
+    rows = per.where("n > 0").groupBy("rid").agg((F.count(F.lit(1)) > 1).alias("several"))
+    stay = first.join(rows, "rid").unionByName(per.where("n = 0").select("rid", F.lit(False).alias("several")).distinct())
     held = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("rid"))
-    return join_small(held, stay, ["rid"], "left_semi").select("_row.*")
+    kept = join_small(held, stash(stay, "near-stay"), ["rid"])
+    one = kept.where("several").groupBy("rid").agg(F.min("_row").alias("_row"))  # combined before the shuffle, so no rid is hot
+    return kept.where("not several").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame, DataFrame]:

@@ -169,6 +169,14 @@ def test_near_duplicates(spark, docs):
     assert op8.near_duplicates(df.where("false")).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    copies = [(i, t, f"s{k}") for i, t in [(None, EN), (None, DE), (4, DE), (5, " ".join(BASE[::-1]))] for k in range(3)]
+    df = spark.createDataFrame([*copies, (None, None, "a"), (None, "", "b"), (None, "", "b")], "doc_id long, text string, source string").repartition(3)
+    out = op8.one_of_each(df)
+    want = [(None, EN, "s0"), (4, DE, "s0"), (5, " ".join(BASE[::-1]), "s0"), (None, None, "a"), (None, "", "b"), (None, "", "b")]
+    assert out.columns == df.columns and sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_leaks(spark, docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
