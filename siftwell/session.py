@@ -43,3 +43,17 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(path))
         context._siftwell_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; for a local master without one, a folder of this session.
+
+    On a cluster the setting is required: a folder of one machine would not be seen by the others.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or getattr(context, "_siftwell_dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = context._siftwell_dir = tempfile.mkdtemp(prefix="siftwell-")
+    return found.rstrip("/")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.scorers import Scorer
 from ..operators.select import allocate_quotas
+from ..session import shared_dir
 
 
 def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{found.rstrip('/')}/siftwell-stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/siftwell-stream-{uuid.uuid4().hex}"
 
 
 def read_documents(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
