@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if its measured size is below this many bytes.
-BROADCAST_LIMIT = 24 << 20
-
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        kept = getattr(spark.sparkContext, "_siftwell_dir", None)
-        if kept is None:
-            kept = spark.sparkContext._siftwell_dir = tempfile.mkdtemp(prefix="siftwell-")
-        found = kept
-    return found.rstrip("/")
+#: A side of a join is broadcast only if its rows times their width are below this many bytes.
+BROADCAST_LIMIT = 24 << 20
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -29,14 +20,39 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwell/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftwell_path = path
+    return out
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join ``small``, a stashed table, by broadcast if its files are below ``BROADCAST_LIMIT``, else by shuffle."""
-    from pyspark.sql import functions as F
+def free(*tables: DataFrame) -> None:
+    """Delete stashed tables that no later step reads, and let Spark drop the shuffle files of finished steps."""
+    spark = SparkSession.getActiveSession()
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._siftwell_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # the frames of finished steps hold their shuffles
+    spark._jvm.System.gc()
+
 
-    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= BROADCAST_LIMIT:
+def _width(schema: T.StructType) -> int | None:
+    """Bytes of a row in a hash table; None where a column has no fixed width."""
+    if any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in schema.fields):
+        return None
+    return 24 + 8 * len(schema.fields)
+
+
+def real_size(df: DataFrame) -> int:
+    """Bytes that a stashed table takes in memory: its rows times their width, measured where columns vary."""
+    width = _width(df.schema)
+    if width is not None:
+        return df.count() * width
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return rows * (24 + 8 * len(df.columns)) + 2 * size
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join ``small``, a stashed table, by broadcast if it is below ``BROADCAST_LIMIT``, else by sort and merge."""
+    if real_size(small) <= BROADCAST_LIMIT:
         return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    return big.join(small.hint("merge"), on, how)
