@@ -1,11 +1,17 @@
-"""A corpus pipeline of five stages, each calling one operator of ``siftwell.llm``."""
+"""A corpus pipeline of five stages, each calling one operator of ``siftwell.llm``.
+
+Each stage takes and returns documents with all their columns (the last adds mix_copies); a column of its own name in the
+input is kept. Null and empty texts are never toxic, near duplicates, leaks or secrets, and are left out by the mix, which
+takes no words from them; rows with one id and text are one document and one of them stays; an empty table gives an empty
+table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import op03_source_mix, op06_toxicity, op07_secret_scan, op08_jaccard_join, op09_decontaminate
-from siftwell.llm.store import stash
+from siftwell.llm.store import free, stash
 from siftwell.session import ship
 
 
@@ -54,6 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = _table(spark, sf_dir, "documents")
+    kept = None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, kept = kept, stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            free(last)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .kernel import Prefix, lower_ascii, mix, text_chunks, word_hashes, words
 from .repeats import _i32, _i64, identified
-from .store import join_small, stash
+from .store import free, join_small, stash
 
 WORDS, PERCENT = 5, 75
 _NO_ID = (1 << 63) - 1
@@ -191,6 +191,7 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
     met = first.select("*", F.first(F.struct("id", "n", "at")).over(w).alias("rep"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
     met = met.where("id != prev or (prev is null and id != next) or (id = prev and id = rep.id and id != next)").select("token", "id", "n", "at", "rep")
     met = stash(met, f"{tag}-met")
+    free()
 
     def allowed(na: str, i: str, nb: str, j: str) -> Column:
         """Whether sets of so many tokens, the first one they share at these places, can reach the threshold."""
@@ -198,18 +199,22 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sizes.select("id", "rid"), "id")
-        text = join_small(rows.select("rid", "text"), stash(need, f"{tag}-need"), ["rid"])
-        sets = stash(text.mapInArrow(_sets(n), "id long, tokens binary"), f"{tag}-tokens").dropDuplicates(["id"])
+        need = stash(need, f"{tag}-need")
+        table = stash(join_small(rows.select("rid", "text"), need, ["rid"]).mapInArrow(_sets(n), "id long, tokens binary"), f"{tag}-tokens")
+        sets = table.dropDuplicates(["id"])
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        return stash(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{tag}-{name}")
+        out = stash(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{tag}-{name}")
+        free(need, table)
+        return out
 
     star = met.where("id != rep.id").where(allowed("rep.n", "rep.at", "n", "at")).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"))
     star = stash(star.distinct(), f"{tag}-star")
     links = verified(star, "links")
     group = components(links, f"{tag}-groups")
 
-    inside = met.select("token", "id", "n", "at").join(group, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("grp"))
+    inside = met.select("token", "id", "n", "at").join(group.select("id", "label"), "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("grp"))
     inside = stash(inside, f"{tag}-inside")
+    free(met, group)
     matrix = inside.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("place"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     matrix = stash(matrix.join(several, "token"), f"{tag}-matrix")
@@ -221,11 +226,12 @@ def _classes(docs: DataFrame, n: int, percent: int, tag: str) -> tuple[DataFrame
     member = asked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("grp").alias("far"))
     pairs = open_.join(member, ["token", "far"]).where(allowed("na", "i", "nb", "j")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stash(pairs.join(star, ["a", "b"], "left_anti"), f"{tag}-opened")
-    links = links.unionByName(verified(pairs, "more"))
-
-    final = components(links, f"{tag}-final")
-    root = sizes.join(final, "id", "left").select("id", "doc", "rid", F.coalesce("label", "id").alias("root"))
-    return per, stash(root, f"{tag}-roots")
+    free(inside, matrix, star)
+    more = verified(pairs, "more")
+    final = components(links.unionByName(more), f"{tag}-final")
+    root = stash(sizes.join(final.select("id", "label"), "id", "left").select("id", "doc", "rid", F.coalesce("label", "id").alias("root")), f"{tag}-roots")
+    free(pairs, links, more, final, sizes)
+    return per, root
 
 
 ORACLE = r"""
