@@ -56,3 +56,20 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     if real_size(small) <= BROADCAST_LIMIT:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
+
+
+#: Keys that ``join_counted`` may broadcast: those that hold more than one row in so many.
+HEAVY = 1 << 17
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "_n") -> DataFrame:
+    """Join ``rows`` with the stashed table ``counted``, which has one row a key and its number of rows ``n``.
+
+    Keys with more than one row in ``HEAVY`` are fewer than ``HEAVY`` and are broadcast; the others are sorted and merged,
+    and none of them is hot.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    limit = total // HEAVY + 1
+    hot = counted.where(F.col(n) > limit)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(F.col(n) <= limit).hint("merge"), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)

@@ -24,7 +24,7 @@ def stages(spark, tmp_path_factory):
         pytest.skip("no corpus")
     at = tmp_path_factory.mktemp("tables")
     docs = spark.read.parquet(f"{HERE}/documents.parquet")
-    odd = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "odd", 0), (None, "a null id and some words to keep", "en", None, 1), (None, None, None, None, None)], docs.schema)
+    odd = spark.createDataFrame([(90_002, "some words and password = abcdEFGH1234 in a text", "en", "odd", 1), (90_000, None, None, None, None), (90_001, "", "en", "odd", 0), (None, "a null id and some words to keep", "en", None, 1), (None, None, None, None, None)], docs.schema)
     docs = docs.unionByName(odd).unionByName(docs.orderBy("doc_id").limit(2)).selectExpr("*", "'x' as rid", "1 as mix")
     docs.write.parquet(f"{at}/documents.parquet")
     for name in ("labels", "benchmark"):

@@ -74,6 +74,25 @@ def test_bytes(spark, seed, alphabet, k):
     assert rows_of(suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), window=k)) == sorted(brute_bytes(rows, k), key=repr)
 
 
+@pytest.mark.parametrize("gathered", [0, 2, 10**6])
+def test_bytes_of_wide_windows(spark, gathered):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop  \né") for _ in range(n))
+    pool = [text(rng.randint(300, 1500)) for _ in range(6)] + ["ab" * 300, "x" * 900]
+    rows = [(0, None, "x", 1), (1, "", "x", 1), (2, "x" * 399, "x", 1), (3, "x" * 400, "x", 1)]
+    for i in range(4, 120):
+        parts = [text(rng.randint(0, 600))]
+        for _ in range(rng.randint(0, 3)):
+            p = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 2)):
+                p[rng.randrange(len(p))] = rng.choice("abXY")
+            parts += ["".join(p), text(rng.randint(0, 200))]
+        rows.append((i, "".join(parts), "x", 1))
+    rows += [rows[7], rows[9], (None, rows[11][1], "x", 1), (500, text(120_000) + pool[0] + text(1_300_000), "x", 1)]
+    got = rows_of(suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), gathered=gathered))
+    assert got == sorted(brute_bytes(rows, 400), key=repr)
+
+
 @pytest.mark.parametrize("seed,alphabet,k", [(4, "ab   \n", 12), (5, "abc ", 20), (6, "a ", 12)])
 def test_words(spark, seed, alphabet, k):
     rows = corpus(seed, alphabet)
