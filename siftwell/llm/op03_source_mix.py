@@ -33,13 +33,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * level).alias("target"))
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["source"].eqNullSafe(b["of_source"])
+def _hash() -> Column:
+    """The place of a document in its source: a hash of its id and text, so that null ids don't share one."""
+    return unit_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
 
 
 def _bounds(docs: DataFrame, weights: tuple[int, ...], most: int, share: float) -> tuple[DataFrame, DataFrame]:
     """(sizes and hashes of the documents; of each source its target, whole copies and the hash below which one more is taken)."""
-    sized = stash(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), unit_hash(F.col("doc_id")).alias("h")), "op3-sizes")
+    sized = stash(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _hash().alias("h")), "op3-sizes")
     goal = targets(sized, weights, most, share)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     goal = stash(goal.select(F.col("source").alias("of_source"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest")), "op3-goals")
@@ -60,22 +61,23 @@ def _bounds(docs: DataFrame, weights: tuple[int, ...], most: int, share: float)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns and, last, mix_copies; as ``mix`` otherwise."""
+    """The rows of ``docs`` that the mix takes, with all their columns and, last, mix_copies (in place of a column of that
+    name); as ``mix`` otherwise."""
     _, bound = _bounds(docs, weights, most, share)
-    held = docs.select(F.struct("*").alias("_row"), "source", unit_hash(F.col("doc_id")).alias("h"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("some"))
+    held = docs.select(F.struct("*").alias("_row"), "source", _hash().alias("h"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("some"))
     rows = join_small_null(held, bound).withColumn("mix_copies", F.when(F.col("some"), F.col("whole") + (F.col("h") < F.col("below")).cast("long")).otherwise(0))
-    return rows.where("mix_copies > 0").select("_row.*", "mix_copies")
+    return rows.where("mix_copies > 0").select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "mix_copies"], "mix_copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
     """How many words the mix takes from each document.
 
     ``docs`` has doc_id, text, source. A source whose target is q times its size and a rest gives every document q
-    times, and once more those documents whose id hashes below the source's threshold: token sums by hash bucket find
+    times, and once more those documents whose id and text hash below the source's threshold: token sums by hash bucket find
     the bucket in which the rest is used up, and only that bucket is split further, until one hash value is left,
     which is in if that comes nearer to the target. Result: doc_id, size, source_size, target, taken, copies, source;
     one row a row. A null or empty text has size 0 and takes 0; a null source is a source of its own, last; rows of
-    equal id share their fate within a source; reruns agree; an empty table gives an empty result.
+    equal id and text share their fate within a source; reruns agree; an empty table gives an empty result.
     """
     sized, bound = _bounds(docs, weights, most, share)
     out = join_small_null(sized, bound)
@@ -95,7 +97,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    concat('0x', substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h FROM documents),
+    concat('0x', substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 13))::BIGINT AS h FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, (source_size * 3)::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS rem,

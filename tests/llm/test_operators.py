@@ -51,6 +51,16 @@ def test_mix(docs):
     assert math.isclose(sum(g for g, _ in goal.values()), sum(len(WORD.findall(r[1] or "")) for r in rows()))
     assert sorted(op3.mix(docs).collect(), key=repr) == sorted(out, key=repr)
     assert op3.mix(docs.where("false")).count() == 0 and "toxic" in op3.mixed(docs).columns
+    again = op3.mixed(docs.selectExpr("*", "'x' as mix_copies"))
+    assert again.columns == op3.mixed(docs).columns and again.count() == op3.mixed(docs).count()
+
+
+def test_mix_of_null_ids(spark):
+    rows = [(None, f"a b c d {i}", f"s{i % 3}") for i in range(300)]
+    out = op3.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5
 
 
 def test_language(docs):
