@@ -23,10 +23,19 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def simhash(grams: Column) -> Column:
-    """64 bits, each the majority of that bit over the shingles."""
-    votes = lambda b: F.aggregate(grams, F.lit(0), lambda a, g: a + F.when(F.call_function("getbit", g, b) == 1, 1).otherwise(-1))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(votes(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """64 bits, each the majority of that bit over the shingles.
+
+    The votes of three bits are counted at once, in three lanes of 21 bits of a sum.
+    """
+
+    def votes(j: int) -> Column:
+        lanes = sum(1 << (21 * k) for k in range(3) if j + 22 * k < 64)
+        word = lambda g: sum((F.shiftleft(F.shiftrightunsigned(g, j + 22 * k).bitwiseAND(F.lit(1).cast("long")), 21 * k) for k in range(1, 3) if j + 22 * k < 64), F.shiftrightunsigned(g, j).bitwiseAND(F.lit(1).cast("long")))
+        total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc + word(g))
+        most = lambda t, k: F.when(2 * F.shiftrightunsigned(t, 21 * k).bitwiseAND(F.lit((1 << 21) - 1)) > F.size(grams), F.lit((1 << (j + 22 * k)) - (1 << 64) * (j + 22 * k == 63))).otherwise(F.lit(0)).cast("long")
+        return let(total, lambda t: sum((most(t, k) for k in range(1, 3) if lanes >> (21 * k) & 1), most(t, 0)))
+
+    return sum((votes(j) for j in range(1, 22)), votes(0))
 
 
 def _blocks(print_: Column, radius: int) -> Column:
@@ -39,51 +48,63 @@ def _blocks(print_: Column, radius: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word) of each document and benchmark item it holds.
 
-    A window of an item's length is compared if it is aligned with the item at a common shingle, its SimHash lies within
-    ``radius`` of an item of that length, and its shingle set has a weighted Jaccard similarity of ``least`` or more with
-    the item's. A shingle weighs one over the number of items that have it, others weigh one. Windows reach no further
-    than the text. Words are lower-cased; items of fewer than ``n`` words are one shingle. The best window of each pair
-    is returned, the earliest of equals. A null or empty text or item has no shingles and gives no row; repeated rows
-    give one row; an empty table gives an empty result; other columns are not read.
+    Every window of an item's length that has a shingle of an item of that length gets a SimHash (a window without one has
+    similarity 0). Multi-index blocks find all item fingerprints of that length within ``radius`` of it, and a weighted
+    Jaccard similarity of the shingle sets of ``least`` or more decides. A shingle weighs one over the number of items that
+    have it, others weigh one. A text shorter than an item is one window. Words are lower-cased; items of fewer than ``n``
+    words are one shingle. The best window of each pair is returned, the earliest of equals. A null or empty text or item
+    has no shingles and gives no row; long texts are searched whole; repeated rows give one row; an empty table gives an
+    empty result; other columns are not read.
     """
     items = benchmark.select("item_id", _lowered(F.col("text")).alias("w")).where("size(w) > 0").dropDuplicates()
     items = items.select("item_id", F.size("w").alias("len"), F.least(F.size("w"), F.lit(n)).alias("n"), "w")
     by_size = lambda w, of: F.coalesce(*[F.when(of == k, _grams(w, k)) for k in range(1, n + 1)])
-    items = stash(items.select("item_id", "len", "n", by_size(F.col("w"), F.col("n")).alias("g")).withColumn("print", simhash(F.array_distinct("g"))), "op9-items")
-    spots = items.select("item_id", "len", "n", F.posexplode("g").alias("off", "h"))
+    items = stash(items.select("item_id", "len", "n", F.array_distinct(by_size(F.col("w"), F.col("n"))).alias("g")).withColumn("print", simhash(F.col("g"))), "op9-items")
+    spots = items.select("item_id", "len", "n", F.explode("g").alias("h"))
     rarity = spots.groupBy("n", "h").agg((1.0 / F.countDistinct("item_id")).alias("wt"))
-    spots = stash(spots, "op9-spots")
-    weighed = items.select("item_id", "len", "n", "print", F.explode(F.array_distinct("g")).alias("h")).join(rarity, ["n", "h"])
+    weighed = items.select("item_id", "len", "n", "print", F.explode("g").alias("h")).join(rarity, ["n", "h"])
     weighed = weighed.groupBy("item_id", "len", "n", "print").agg(F.array_sort(F.collect_list(F.struct("h", "wt"))).alias("own"))
-    weighed = stash(weighed, "op9-weighed")
+    spots = stash(spots.groupBy("n", "h").agg(F.collect_set("len").alias("lens")), "op9-spots")
+    index = stash(weighed.select("item_id", "len", "own", F.col("print").alias("other"), F.explode(_blocks(F.col("print"), radius)).alias("b")).select("item_id", "len", "own", "other", "b.k", "b.v"), "op9-index")
 
-    rows = docs.select("doc_id", _lowered(F.col("text")).alias("w"))
-    lengths = [r[0] for r in items.select("n").distinct().collect()]  # n values at most
+    rid = F.xxhash64("doc_id", "text")
+    rows = docs.select("doc_id", rid.alias("rid"), "text")
+    words = _lowered(F.col("text"))
     hits = None
-    for k in sorted(lengths):
-        grams = rows.select("doc_id", "w", F.posexplode(_grams(F.col("w"), k)).alias("at", "h"))
-        part = join_small(grams, spots.where(F.col("n") == k).drop("n"), ["h"])
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("off"), F.size("w") - F.col("len")))
-        part = part.select("doc_id", "len", F.lit(k).alias("n"), start.alias("start"), F.slice("w", start + 1, F.col("len")).alias("w"))
+    for k in sorted(r[0] for r in items.select("n").distinct().collect()):  # n values at most
+        grams = rows.select("doc_id", "rid", F.size(words).alias("size"), F.posexplode(_grams(words, k)).alias("at", "h"))
+        part = join_small(grams, spots.where(F.col("n") == k).drop("n"), ["h"]).select("doc_id", "rid", "size", F.lit(k).alias("n"), "at", F.explode("lens").alias("len"))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return docs.select(F.col("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start_word")).where("false")
-    windows = hits.dropDuplicates().select("doc_id", "len", "n", "start", F.array_distinct(by_size(F.col("w"), F.least(F.size("w"), F.col("n")))).alias("g"))
+    last = F.greatest(F.lit(0), F.col("size") - F.col("len"))
+    ats = hits.groupBy("doc_id", "rid", "size", "n", "len").agg(F.collect_set("at").alias("ats"))  # bounded by the document
+    starts = F.transform("ats", lambda at: F.sequence(F.least(last, F.greatest(F.lit(0), at - F.col("len") + F.col("n"))), F.least(at, last)))
+    spans = ats.select("doc_id", "rid", "n", "len", F.array_distinct(F.flatten(starts)).alias("starts"))
+    spans = stash(spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("n", "len", "starts")).alias("asked")), "op9-asked")  # bounded by the document
+    windows = join_small(rows, spans.select("rid", "asked"), ["rid"]).select("doc_id", words.alias("w"), "asked")
+    grams_of = F.transform("asked", lambda a: F.struct(a["n"].alias("n"), a["len"].alias("len"), a["starts"].alias("starts"), by_size(F.col("w"), F.least(F.size("w"), a["n"])).alias("g")))
+    windows = windows.select("doc_id", F.explode(grams_of).alias("a")).select("doc_id", "a.n", "a.len", "a.g", F.explode("a.starts").alias("start"))
+    windows = windows.select("doc_id", "len", "start", F.array_distinct(F.slice("g", F.col("start") + 1, F.greatest(F.lit(1), F.col("len") - F.col("n") + 1))).alias("g")).dropDuplicates(["doc_id", "len", "start", "g"])
     windows = stash(windows.withColumn("print", simhash(F.col("g"))), "op9-windows")
-    keyed = windows.select("doc_id", "len", "n", "start", "g", "print", F.explode(_blocks(F.col("print"), radius)).alias("b"))
-    index = stash(weighed.select("item_id", "len", "own", F.col("print").alias("other"), F.explode(_blocks(F.col("print"), radius)).alias("b")), "op9-index")
-    near = join_small(keyed.select("*", F.col("b.k").alias("k"), F.col("b.v").alias("v")).drop("b"), index.select("*", F.col("b.k").alias("k"), F.col("b.v").alias("v")).drop("b"), ["len", "k", "v"])
+    near = join_small(windows.select("doc_id", "len", "start", "g", "print", F.explode(_blocks(F.col("print"), radius)).alias("b")).select("*", "b.k", "b.v").drop("b"), index, ["len", "k", "v"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius)
+    near = near.where(F.col("k") == _first_block("print", "other", radius))  # a pair that meets in several blocks is looked at once
     both = F.aggregate(F.filter("own", lambda o: F.array_contains("g", o["h"])), F.lit(0.0), lambda a, o: a + o["wt"])
     mine = F.aggregate("own", F.lit(0.0), lambda a, o: a + o["wt"])
     extra = F.size(F.array_except("g", F.transform("own", lambda o: o["h"])))
     scored = near.select("doc_id", "item_id", "start", F.round(both / (mine + extra), 9).alias("similarity")).where(F.col("similarity") >= least)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min(F.struct(-F.col("similarity"), "start"))["start"].cast("long").alias("start_word"))
-    return best
+    return scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min(F.struct(-F.col("similarity"), "start"))["start"].cast("long").alias("start_word"))
+
+
+def _first_block(a: str, b: str, radius: int) -> Column:
+    """Number of the first block on which two fingerprints agree."""
+    same = F.zip_with(_blocks(F.col(a), radius), _blocks(F.col(b), radius), lambda x, y: F.when(x["v"] == y["v"], x["k"]))
+    return F.array_min(same)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns."""
+    """The rows of ``docs`` without a leak, with all their columns; null and empty texts and repeated rows without one stay."""
     rid = F.xxhash64("doc_id", "text")
     bad = stash(leaks(docs.select(rid.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("rid")).distinct(), "op9-bad")
     held = docs.select(F.struct("*").alias("_row"), rid.alias("rid"))
@@ -93,15 +114,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 i0 AS (SELECT item_id, w, len(w) AS L, least(len(w), 5) AS n FROM b WHERE len(w) > 0),
-spot AS (SELECT item_id, L, n, o, list_slice(w, o + 1, o + n) AS g FROM i0, LATERAL (SELECT unnest(range(0, L - n + 1)) AS o)),
-rare AS (SELECT n, g, 1.0 / count(DISTINCT item_id) AS wt FROM spot GROUP BY n, g),
-own AS (SELECT DISTINCT item_id, g, wt FROM spot JOIN rare USING (n, g)),
+own0 AS (SELECT DISTINCT item_id, L, n, list_slice(w, o + 1, o + n) AS g FROM i0, LATERAL (SELECT unnest(range(0, L - n + 1)) AS o)),
+rare AS (SELECT n, g, 1.0 / count(DISTINCT item_id) AS wt FROM own0 GROUP BY n, g),
+own AS (SELECT item_id, L, n, g, wt FROM own0 JOIN rare USING (n, g)),
+tot AS (SELECT item_id, sum(wt) AS mine FROM own GROUP BY item_id),
 d0 AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
 dg AS (SELECT doc_id, w, a, n, list_slice(w, a + 1, a + n) AS g FROM d0, (SELECT DISTINCT n FROM i0), LATERAL (SELECT unnest(range(0, len(w) - n + 1)) AS a)),
-hit AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(a - o, len(w) - L)) AS s, list_slice(w, greatest(0, least(a - o, len(w) - L)) + 1, greatest(0, least(a - o, len(w) - L)) + L) AS ww FROM dg JOIN spot USING (n, g)),
-win AS (SELECT DISTINCT doc_id, item_id, s, list_slice(ww, k + 1, k + least(n, len(ww))) AS g FROM hit, LATERAL (SELECT unnest(range(0, len(ww) - least(n, len(ww)) + 1)) AS k)),
-cmp AS (SELECT win.doc_id, win.item_id, s, sum(own.wt) AS both_, count(*) - count(own.g) AS extra FROM win LEFT JOIN own ON win.item_id = own.item_id AND win.g = own.g GROUP BY ALL),
-tot AS (SELECT item_id, sum(wt) AS mine FROM own GROUP BY item_id),
+met AS (SELECT DISTINCT doc_id, w, item_id, L, own.n FROM dg JOIN own USING (n, g)),
+win AS (SELECT doc_id, item_id, n, s, list_slice(w, s + 1, s + L) AS ww FROM met, LATERAL (SELECT unnest(range(0, greatest(0, len(w) - L) + 1)) AS s)),
+sh AS (SELECT DISTINCT doc_id, item_id, s, list_slice(ww, k + 1, k + least(n, len(ww))) AS g FROM win, LATERAL (SELECT unnest(range(0, len(ww) - least(n, len(ww)) + 1)) AS k)),
+cmp AS (SELECT sh.doc_id, sh.item_id, s, sum(own.wt) AS both_, count(*) - count(own.g) AS extra FROM sh LEFT JOIN own ON sh.item_id = own.item_id AND sh.g = own.g GROUP BY ALL),
 sc AS (SELECT doc_id, item_id, s, both_ / (mine + extra) AS similarity FROM cmp JOIN tot USING (item_id))
 SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, arg_min(s, (-round(similarity, 9), s))::BIGINT AS start_word FROM sc WHERE similarity >= 0.75 GROUP BY doc_id, item_id
 """
