@@ -13,6 +13,12 @@ MOST_CONTEXT = 2000
 PY_SPACE = r"(?:[\x1c-\x1f]|(?U:\s))+"
 
 
+def strip(text: Column) -> Column:
+    """A text without white space at either end, as Python's str.strip leaves it."""
+    one = PY_SPACE[:-1]
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{one}++", ""), rf"(?<!{one}){one}++\z", "")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, also where the body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
@@ -23,7 +29,7 @@ def make_uid(source: Column, split: Column, index: Column) -> Column:
 
 
 def full_text(title: Column, text: Column) -> Column:
-    return F.when(F.trim(title) != "", F.concat(title, F.lit("\n\n"), text)).otherwise(text)
+    return F.when(strip(title) != "", F.concat(title, F.lit("\n\n"), text)).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -78,7 +84,7 @@ def ngram_buckets(words: Column, n: int, buckets: int) -> Column:
 
 def truncate_head(contexts: Column, most: int = MOST_CONTEXT) -> Column:
     """The contexts as one text; of a long one the tail stays behind three dots."""
-    joined = F.trim(F.array_join(contexts, "\n"))
+    joined = strip(F.array_join(contexts, "\n"))
     return F.when(F.length(joined) > most, F.concat(F.lit("..."), F.right(joined, F.lit(most)))).otherwise(joined)
 
 
@@ -100,7 +106,7 @@ def render_completion(answer: Column, rationale: Column | None = None) -> Column
     out = F.concat(F.lit(" "), answer)
     if rationale is None:
         return out
-    return F.concat(out, F.when(F.trim(rationale) != "", F.concat(F.lit("\n\nExplanation: "), rationale)).otherwise(""))
+    return F.concat(out, F.when(strip(rationale) != "", F.concat(F.lit("\n\nExplanation: "), strip(rationale))).otherwise(""))
 
 
 def human_bytes(n: Column) -> Column:

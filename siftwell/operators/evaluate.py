@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def corpus_stats(docs: DataFrame, full: Column) -> DataFrame:
     n = F.length(full)
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("title") != "").alias("with_title"), F.round(F.avg(n), 1).alias("mean_chars"), F.sum(n).cast("long").alias("total_chars"))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(strip(F.col("title")) != "").alias("with_title"), F.round(F.avg(n), 1).alias("mean_chars"), F.sum(n).cast("long").alias("total_chars"))
 
 
 def qa_stats(qa: DataFrame) -> DataFrame:
@@ -120,3 +122,24 @@ def perplexity_report(losses: DataFrame) -> DataFrame:
     """Token-weighted mean loss of (nll, n) rows and its exponential; null without tokens."""
     mean = F.sum("nll") / F.nullif(F.sum("n"), F.lit(0))
     return losses.agg(F.sum("n").alias("n_tokens"), F.round(mean, 6).alias("mean_nll"), F.round(F.exp(mean), 4).alias("perplexity"))
+
+
+def results_table(runs: DataFrame, base: str = "__base__") -> DataFrame:
+    """Runs (name, accuracy, low, high) best first, with the gain on the base run and a row of a LaTeX table."""
+    one = runs.where(F.col("name") == base).select(F.col("accuracy").alias("base"))
+    rows = runs.join(F.broadcast(one), how="left").withColumn("delta", F.round(F.col("accuracy") - F.col("base"), 9)).drop("base")
+    cells = [F.replace("name", F.lit("_"), F.lit("\\_")), F.format_string("%.4f", "accuracy"), F.format_string("[%.4f, %.4f]", "low", "high"), F.coalesce(F.format_string("%+.4f", "delta"), F.lit("--"))]
+    return rows.select("name", "accuracy", "low", "high", "delta", F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("latex"))
+
+
+def judge_ablation(runs: DataFrame, one: str, other: str) -> DataFrame:
+    """Two judges' runs (name, accuracy, low, high) under one budget: difference, whether the intervals overlap, the better."""
+    return ci_overlap_pairs(runs.where(F.col("name").isin(one, other)))
+
+
+def report(predicted: DataFrame, by_subject: DataFrame, source: str, split: str, model: str, mode: str = "letter") -> dict:
+    """What one evaluation run is written down as: counts, accuracies, interval, subjects and their spread."""
+    row = accuracy(predicted).first().asDict()
+    interval = accuracy_ci(row["n_correct"], row["n_scored"])
+    subjects = {r.subject: {"n": r.n, "accuracy": r.accuracy} for r in by_subject.orderBy("subject").collect()}
+    return {"source": source, "split": split, "model": model, "mode": mode, **row, "accuracy_ci": interval, "by_subject": subjects, "spread": subject_spread(by_subject).first().asDict()}

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def min_chars(df: DataFrame, least: int = 200) -> DataFrame:
-    return df.where(F.length(F.trim("text")) >= least)
+    """Records whose text has ``least`` characters or more, white space at its ends not counted."""
+    return df.where(F.length(strip(F.col("text"))) >= least)
 
 
 def dedup_first(df: DataFrame, key: str) -> DataFrame:
     """The first record of each key in pool order; records without a key all stay."""
-    w = Window.partitionBy(key).orderBy("pos")
-    ranked = df.withColumn("_seen", F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.row_number().over(w)))
-    return ranked.where("_seen = 1").drop("_seen")
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("pos").alias("pos")).select("pos")  # combined before the shuffle
+    return df.where(F.col(key).isNotNull()).join(first, "pos", "left_semi").unionByName(df.where(F.col(key).isNull()))
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -28,8 +30,12 @@ def corpus_filter(df: DataFrame, excluded: DataFrame, key: str, dedup_key: str,
     return out if limit is None else out.orderBy("pos").limit(limit)
 
 
-def apply_selection(pool: DataFrame, selected: DataFrame) -> DataFrame:
-    """The pool's records named by a manifest, in pool order; unknown or no uids are refused."""
+def apply_selection(pool: DataFrame, selected: DataFrame, source: str | None = None, split: str | None = None) -> DataFrame:
+    """The pool's records named by a manifest, in pool order; unknown or no uids are refused, and so is a manifest whose
+    columns source and split, where it has them, are not those given."""
+    for name, want in (("source", source), ("split", split)):
+        if want is not None and name in selected.columns and (other := selected.where(F.col(name) != want).select(name).first()):
+            raise ValueError(f"the selection is of {name} {other[0]!r}, not {want!r}")
     wanted = selected.select("uid").distinct()
     missing = wanted.join(pool, "uid", "left_anti").limit(1).collect()
     if missing:
@@ -42,7 +48,7 @@ def apply_selection(pool: DataFrame, selected: DataFrame) -> DataFrame:
 def good_question(options: Column, question: Column) -> Column:
     """A question of ten characters and two different options, none of them blank."""
     values = F.map_values(options)
-    return F.coalesce((F.length(F.trim(question)) >= 10) & (F.size(F.array_distinct(values)) >= 2) & ~F.exists(values, lambda v: F.trim(v) == ""), F.lit(False))
+    return F.coalesce((F.length(strip(question)) >= 10) & (F.size(F.array_distinct(values)) >= 2) & ~F.exists(values, lambda v: strip(v) == ""), F.lit(False))
 
 
 def split_slice(spec: str) -> tuple[str, int, float]:

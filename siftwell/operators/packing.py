@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 EOS = "</s>"
 
 
@@ -13,12 +15,21 @@ def offsets(docs: DataFrame, tokens: Column, slice_rows: int = 100_000) -> DataF
 
     Running sums are taken within slices of ``slice_rows`` positions and joined with the sums of the slices before.
     """
-    rows = docs.select("uid", "pos", F.floor(F.col("pos") / slice_rows).alias("part"), F.concat(tokens, F.array(F.lit(EOS))).alias("toks"))
-    sums = rows.groupBy("part").agg(F.sum(F.size("toks")).alias("n"))
+    toks = F.concat(tokens, F.array(F.lit(EOS)))
+    rows = written(docs.select("pos", F.floor(F.col("pos") / slice_rows).alias("part"), F.size(toks).alias("n")), "sizes")
+    sums = rows.groupBy("part").agg(F.sum("n").alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     w = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("inner", F.coalesce(F.sum(F.size("toks")).over(w), F.lit(0)))
-    return inner.join(F.broadcast(before), "part").select("uid", "pos", "toks", (F.col("inner") + F.col("base")).alias("start"))
+    starts = rows.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(before), "part").select("pos", (F.col("inner") + F.col("base")).alias("start"))
+    return docs.select("uid", "pos", toks.alias("toks")).join(starts, "pos").select("uid", "pos", "toks", "start")
+
+
+def pack_to_dataset(docs: DataFrame, tokens: Column, block_size: int = 1024, keep_rest: bool = False) -> DataFrame:
+    """``pack`` with input_ids and labels alike; a corpus too small for one block is refused."""
+    blocks = pack(docs, tokens, block_size, keep_rest)
+    if blocks.limit(1).count() == 0:
+        raise ValueError(f"the corpus has fewer than {block_size} tokens, so there is no block")
+    return blocks.select("block", F.col("tokens").alias("input_ids"), F.col("tokens").alias("labels"))
 
 
 def pack(docs: DataFrame, tokens: Column, block_size: int = 1024, keep_rest: bool = False) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import gumbel, hash_uniform, let, ngram_buckets, normal_words, py_words
+from ..session import written
 from ..sources.registry import SCORERS
 from .filters import good_question
+from .select import ranked
 
 
 class Scorer:
@@ -71,16 +73,17 @@ class Dsir(Scorer):
 
     def fit(self, pool: DataFrame) -> Dsir:
         models = [bucket_model(d, self.ngram, self.buckets, self.alpha).withColumnRenamed("logp", k) for k, d in (("t", self.target), ("p", pool))]
-        self.ratios = models[0].join(models[1], "bucket").select("bucket", (F.col("t") - F.col("p")).alias("ratio"))  # as many rows as buckets
+        self.ratios = [r.ratio for r in models[0].join(models[1], "bucket").orderBy("bucket").select((F.col("t") - F.col("p")).alias("ratio")).collect()]  # one a bucket
         if self.noise_ratio:
             self.scale = self.noise_ratio * (self.weights(pool).agg(F.stddev_pop("weight")).first()[0] or 1.0)
         return self
 
     def weights(self, df: DataFrame) -> DataFrame:
-        """``df`` with the mean ratio of its n-grams; grams are counted by record before they meet the model."""
-        grams = df.select("uid", F.explode(ngram_buckets(normal_words(F.col("text")), self.ngram, self.buckets)).alias("bucket")).groupBy("uid", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-        sums = grams.join(F.broadcast(self.ratios), "bucket").groupBy("uid").agg((F.sum(F.col("cnt") * F.col("ratio")) / F.sum("cnt")).alias("weight"))
-        return df.join(sums, "uid", "left").fillna(0.0, ["weight"])
+        """``df`` with the mean ratio of its n-grams, looked up in a constant array; nothing is shuffled."""
+        table = F.expr("cast(split('" + ",".join(map(repr, self.ratios)) + "', ',') as array<double>)")
+        grams = ngram_buckets(normal_words(F.coalesce(F.col("text"), F.lit(""))), self.ngram, self.buckets)
+        mean = lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(table, x)) / F.size(b))
+        return df.withColumn("weight", let(grams, mean))
 
     def transform(self, df: DataFrame) -> DataFrame:
         score = F.col("weight")
@@ -96,6 +99,15 @@ def centroid(df: DataFrame, column: str = "embedding") -> DataFrame:
     return mean.crossJoin(F.broadcast(norm)).select("i", F.when(F.col("norm") >= 1e-12, F.col("m") / F.col("norm")).alias("c"))
 
 
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """Unit mean of the token vectors whose mask is 1; without any, their sum over one token."""
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+    size = F.size(F.get(vectors, F.lit(0)))
+    total = F.transform(F.sequence(F.lit(0), size - 1), lambda d: F.aggregate(F.zip_with(vectors, mask, lambda v, m: F.get(v, d).cast("double") * m), F.lit(0.0), lambda s, x: s + x))
+    unit = lambda v: let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12))))
+    return let(F.transform(total, lambda x: x / n), unit)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -123,10 +135,9 @@ class NgramLM:
     """Bigram model interpolated half and half with the unigram model, both add-``alpha``; the reference model here."""
 
     def __init__(self, train: DataFrame, alpha: float = 0.1) -> None:
-        grams = self.bigrams(train)
-        self.uni = grams.groupBy("v").agg(F.count(F.lit(1)).alias("cv"))
-        self.left = grams.groupBy("u").agg(F.count(F.lit(1)).alias("cu"))
-        self.bi = grams.groupBy("u", "v").agg(F.count(F.lit(1)).alias("cuv"))
+        self.bi = written(self.bigrams(train).groupBy("u", "v").agg(F.count(F.lit(1)).alias("cuv")), "bigrams")  # one pass over the texts
+        self.uni = self.bi.groupBy("v").agg(F.sum("cuv").alias("cv"))
+        self.left = self.bi.groupBy("u").agg(F.sum("cuv").alias("cu"))
         self.total = self.uni.agg(F.sum("cv").alias("n"), F.count(F.lit(1)).alias("k"))
         self.alpha = alpha
 
@@ -208,27 +219,39 @@ class ThreeDifficulties(Scorer):
     """Instruction, response and gold difficulty: percentile ranks within bounds, nearest to the middle first.
 
     Needs columns d1, d2, d3, options, question, pos. Records that fail the quality filter or the bounds score minus
-    infinity. Ranks are relative to the pool, so streams are refused.
+    infinity. With a column of vectors that all survivors have, the score is the number of survivors less the rank in
+    farthest-first order; that order is taken in one task, so more than ``most`` survivors are refused then. Ranks are
+    relative to the pool, so streams are refused.
     """
 
     streams = False
 
-    def __init__(self, low: float = 25.0, high: float = 75.0) -> None:
-        self.low, self.high = low, high
+    def __init__(self, low: float = 25.0, high: float = 75.0, vectors: str | None = None, most: int = 20_000) -> None:
+        self.low, self.high, self.vectors, self.most = low, high, vectors, most
 
     def ranks(self, df: DataFrame) -> DataFrame:
-        good = df.withColumn("good", good_question(F.col("options"), F.col("question")))
+        good = df.where(good_question(F.col("options"), F.col("question"))).select("pos", "d1", "d2", "d3")
+        last = F.lit(max(good.count() - 1, 1))
         for k in (1, 2, 3):
-            good = good.withColumn(f"p{k}", F.when(F.col("good"), percentile_rank(F.col(f"d{k}"), F.col("pos"), ["good"])))
-        return good
+            good = ranked(good, F.asc(f"d{k}"), F.asc("pos")).withColumn(f"p{k}", 100.0 * (F.col("rank") - 1) / last).drop("rank")
+        return df.join(good.drop("d1", "d2", "d3"), "pos", "left")
 
     def transform(self, df: DataFrame) -> DataFrame:
         if df.isStreaming:
             raise ValueError("3ds ranks within a pool and cannot stream")
-        ranked = self.ranks(df)
+        rows = self.ranks(df)
         inside = F.coalesce(F.col("p1").between(self.low, self.high) & F.col("p2").between(self.low, self.high) & F.col("p3").between(self.low, self.high), F.lit(False))
         off = sum((F.abs(F.col(f"p{k}") - 50.0) for k in (1, 2, 3)), F.lit(0.0))
-        return ranked.withColumn("score", F.when(inside, -off).otherwise(F.lit(float("-inf"))))
+        none = F.lit(float("-inf"))
+        if self.vectors is not None:
+            left = written(rows.where(inside).select(F.lit(0).alias("all"), "pos", self.vectors), "survivors")
+            n, bare = left.agg(F.count(F.lit(1)), F.count_if(F.col(self.vectors).isNull())).first()
+            if n and not bare:
+                if n > self.most:
+                    raise ValueError(f"{n} survivors are more than the {self.most} that are ordered farthest first")
+                order = kcenter(left, "all", self.vectors).select("pos", (n - F.col("rank")).cast("double").alias("_order"))
+                return rows.join(F.broadcast(order), "pos", "left").withColumn("score", F.coalesce("_order", none)).drop("_order")
+        return rows.withColumn("score", F.when(inside, -off).otherwise(none))
 
 
 class LogisticProxy:

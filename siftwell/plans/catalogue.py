@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import stages
 from ..functions import text as t
 from ..operators import evaluate, filters, packing, scorers, select
-from ..session import ship
-from ..sources import records
+from ..session import shared_dir, ship
+from ..sources import caches, records
 from ..streaming import select as streaming
 
 SELECTED, SEED = 100, 42
@@ -45,7 +48,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lm(spark: SparkSession, d: str) -> scorers.NgramLM:
-    return scorers.NgramLM(_docs(spark, d).where("doc_id % 2 = 0"))
+    return scorers.NgramLM(_docs(spark, d))
 
 
 def _perplexity(mode: str):
@@ -168,6 +171,42 @@ def _stream(group: str | None):
     return run
 
 
+def _stream_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Selection over a stream by a scorer fitted on its first 200 records."""
+    scorer = scorers.Dsir(_target(spark, d), gumbel_noise=False)
+    state = streaming.select_stream(streaming.read_documents(ship(spark), d), scorer, SELECTED, prefix=_docs(spark, d), fit_size=200)
+    return streaming.ranked(state).select("uid", F.round("score", 9).alias("score"))
+
+
+def _cpt(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the longest documents."""
+    chosen = select.top_k(_lengths(spark, d), SELECTED).select("uid").withColumn("source", F.lit("documents"))
+    docs = _docs(spark, d).where("text is not null")
+    blocks = stages.cpt_prepare(docs, chosen, 512, source="documents")
+    return blocks.select("block", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", " ")).alias("digest"))
+
+
+def _cached(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of all records, half of which a first run left in the cache."""
+    pool, root = _docs(spark, d).select("uid", "pos", "text"), f"{shared_dir(ship(spark))}/siftwell/metrics-{uuid.uuid4().hex}"
+    cache = caches.KeyedCache(spark, root, kind="length")
+    measure = lambda df: df.select("uid", F.length("text").alias("metric"))
+    cache.complete(pool.where("pos < 100"), measure)
+    return cache.complete(pool, measure).select("uid", "metric")
+
+
+def _named_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``_runs`` with the least name as the base run."""
+    runs = _runs(spark, d)
+    first = runs.agg(F.min("name").alias("base"))
+    return runs.crossJoin(F.broadcast(first)).withColumn("name", F.when(F.col("name") == F.col("base"), F.lit("__base__")).otherwise(F.col("name"))).drop("base")
+
+
+def _judges(spark: SparkSession, d: str) -> list[str]:
+    """The two greatest names."""
+    return [r.name for r in _runs(spark, d).select("name").orderBy(F.desc("name")).limit(2).collect()]
+
+
 def _stream_stats(spark: SparkSession, d: str) -> DataFrame:
     state = streaming.select_stream(streaming.read_documents(ship(spark), d), scorers.Length(), SELECTED, "lang")
     return state.stats().select("grp", "n", "total", "least", "most")
@@ -200,10 +239,11 @@ def queries() -> dict:
         "limit_raw": lambda s, d: filters.min_chars(doc(s, d).orderBy("pos").limit(SELECTED)).select("uid"),
         "limit_kept": lambda s, d: filters.min_chars(doc(s, d)).orderBy("pos").limit(SELECTED).select("uid"),
         "split_slice": lambda s, d: doc(s, d).where((F.col("pos") >= filters.split_slice("train[50:120]")[1]) & (F.col("pos") < filters.split_slice("train[50:120]")[2])).select("uid"),
+        "filter_min_chars_padded": lambda s, d: filters.min_chars(doc(s, d).withColumn("text", F.expr(_PADDED))).select("uid"),
         "filter_min_chars": lambda s, d: filters.min_chars(doc(s, d)).select("uid"),
         "dedup_first": lambda s, d: filters.dedup_first(doc(s, d).withColumn("key", F.md5("text")), "key").select("uid", "pos"),
         "contamination_anti_join": lambda s, d: filters.exclude(doc(s, d), _excluded(s, d), "doc_id").select("uid"),
-        "corpus_pipeline": lambda s, d: filters.corpus_filter(doc(s, d).withColumn("key", F.col("doc_id") % 900), _excluded(s, d), "doc_id", "key", limit=500).select("uid", "pos"),
+        "corpus_pipeline": lambda s, d: filters.corpus_filter(doc(s, d).withColumn("key", F.md5("text")), _excluded(s, d), "doc_id", "key").select("uid", "pos"),
         "corpus_stats": lambda s, d: evaluate.corpus_stats(doc(s, d), t.full_text(F.col("title"), F.col("text"))),
         "qa_stats": lambda s, d: evaluate.qa_stats(q(ship(s), d)),
         "top_subjects": lambda s, d: evaluate.top_subjects(q(ship(s), d)),
@@ -235,6 +275,8 @@ def queries() -> dict:
         "select_top_k_tokens": lambda s, d: select.top_k_cost(_costed(s, d), 50_000).select("uid", "cost"),
         "select_stratified": lambda s, d: select.stratified(_lengths(s, d), "lang", SELECTED).select("uid", "lang"),
         "select_stratified_floor": lambda s, d: select.stratified(_lengths(s, d), "lang", SELECTED, 20).select("uid", "lang"),
+        "select_stratified_unknown": lambda s, d: select.stratified(_lengths(s, d).withColumn("grp", F.expr(_SOME_GROUPS)), "grp", SELECTED).select("uid", F.coalesce("grp", F.lit("unknown")).alias("grp")),
+        "select_stratified_tokens_floor": lambda s, d: select.stratified_cost(_costed(s, d), "lang", 0.3, 5).select("uid", "lang", "cost"),
         "select_stratified_tokens": lambda s, d: select.stratified_cost(_costed(s, d), "lang", 50_000).select("uid", "lang", "cost"),
         "allocate_quotas": _quotas,
         "token_costs": lambda s, d: _costed(s, d).select("uid", "cost"),
@@ -255,12 +297,32 @@ def queries() -> dict:
         "pack_blocks": _packed,
         "apply_selection": _applied,
         "sft_prepare": _sft,
+        "cpt_prepare": _cpt,
+        "target_texts": lambda s, d: stages.target_texts(q(ship(s), d)),
+        "target_texts_completion": lambda s, d: stages.target_texts(q(ship(s), d), 50, completion=True),
+        "metric_cache_join": _cached,
+        "exclusion_union": lambda s, d: caches.union_of_ids({"toxic": records.table(s, d, "labels").where("toxic = 1"), "low": records.table(s, d, "labels").where("quality = 0")}, "doc_id", ["toxic", "low"]),
+        "mean_pool": lambda s, d: _vectors(s, d).select("uid", F.posexplode(scorers.mean_pool(F.array("embedding", F.reverse("embedding")), F.array(F.lit(1), F.col("label") % 2))).alias("i", "x")).select("uid", "i", F.round("x", 9).alias("x")),
+        "delta_vs_base": lambda s, d: evaluate.delta_vs_base(_named_runs(s, d)),
+        "results_table": lambda s, d: evaluate.results_table(_named_runs(s, d)),
+        "judge_ablation": lambda s, d: evaluate.judge_ablation(_named_runs(s, d), *_judges(s, d)),
+        "stream_fit_prefix": _stream_prefix,
         "stream_top_k": _stream(None),
         "stream_stratified": _stream("lang"),
         "stream_stats": _stream_stats,
     }
 
 
+#: Texts of 150 line breaks and 50 to 249 characters; groups that most records lack.
+_PADDED = "concat(repeat(decode(unhex('0A'), 'UTF-8'), 150), substr(text, 1, cast(50 + pos % 200 as int)))"
+_PADDED_SQL = "concat(repeat(chr(10), 150), substr(text, 1, (50 + pos % 200)::INT))"
+_SOME_GROUPS = "case when pos % 3 = 0 then lang end"
+
+
+def _strip(text: str) -> str:
+    return rf"regexp_replace({text}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
+
+
 _UNI = "concat('0x', substr(md5(concat('{ns}:42:', {key})), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
 _D = "d AS (SELECT concat('documents/', doc_id) AS uid, doc_id AS pos, * FROM documents)"
 _TOK = r"greatest(1, len(regexp_extract_all(text, '\w+|[^\w\s]')))"
@@ -296,7 +358,7 @@ m AS (SELECT bk.bucket, ln((count(*) FILTER (id < 0) + 1.0) / (sum(count(*) FILT
 wt AS (SELECT id, sum(ratio) / count(*) AS w FROM gb JOIN m USING (bucket) WHERE id >= 0 GROUP BY id),
 sc AS (SELECT concat('documents/', doc_id) AS uid, coalesce(w, 0.0) AS w FROM documents LEFT JOIN wt ON id = doc_id)"""
 _LM = f"""WITH {_D}, ws AS (SELECT uid, doc_id, list_concat(['<s>'], list_filter(string_split({_NORM}, ' '), lambda x: x <> '')) AS w FROM d),
-bg AS (SELECT uid, doc_id, unnest(w[1:-2]) AS u, unnest(w[2:]) AS v FROM ws WHERE len(w) > 1), tr AS (SELECT * FROM bg WHERE doc_id % 2 = 0),
+bg AS (SELECT uid, doc_id, unnest(w[1:-2]) AS u, unnest(w[2:]) AS v FROM ws WHERE len(w) > 1), tr AS (SELECT * FROM bg),
 uni AS (SELECT v, count(*) AS cv FROM tr GROUP BY v), lf AS (SELECT u, count(*) AS cu FROM tr GROUP BY u), bi AS (SELECT u, v, count(*) AS cuv FROM tr GROUP BY u, v), tt AS (SELECT sum(cv) AS n, count(*) AS k FROM uni),
 nl AS (SELECT uid, sum(-ln(0.5 * (coalesce(cuv, 0) + 0.1) / (coalesce(cu, 0) + 0.1 * k) + 0.5 * (coalesce(cv, 0) + 0.1) / (tt.n + 0.1 * k))) AS nll, count(*) AS n FROM bg LEFT JOIN bi USING (u, v) LEFT JOIN lf USING (u) LEFT JOIN uni USING (v), tt GROUP BY uid),
 mn AS (SELECT uid, coalesce(nll / nl.n, 0.0) AS x FROM d LEFT JOIN nl USING (uid))"""
@@ -308,6 +370,24 @@ _SHARE = """cg AS (SELECT lang, count(*) AS size, count(*)::HUGEINT * 100 // sum
 qf AS (SELECT lang, size, least(size, greatest({floor}, share)) AS b FROM cg)"""
 
 
+#: Quotas with a floor of 20: what is above or below the budget goes off or on in whole rounds, the rest one each in order.
+_FLOOR_QUOTA = """cg AS (SELECT lang, count(*) AS size, count(*)::HUGEINT * 100 // sum(count(*)) OVER () AS share FROM d GROUP BY lang),
+q1 AS (SELECT lang, size, least(size, greatest(20, share)) AS b FROM cg), q2 AS (SELECT *, sum(b) OVER () - 100 AS ex FROM q1),
+q3 AS (SELECT *, CASE WHEN ex > 0 THEN b - least(20, size) ELSE size - b END AS room FROM q2),
+rd AS (SELECT arg_max(r, r) AS r, arg_max(m, r) AS m FROM (SELECT r, sum(least(r, room)) AS m, any_value(abs(ex)) AS ex FROM q3, range(101) t(r) GROUP BY r) WHERE m <= ex),
+qt AS (SELECT lang, b - sign(ex) * (least(r, room) + CASE WHEN room > r AND row_number() OVER (PARTITION BY room > r ORDER BY CASE WHEN ex > 0 THEN size ELSE -size END, lang) <= abs(ex) - m THEN 1 ELSE 0 END) AS quota FROM q3, rd)"""
+_FLOOR_TOKENS = f"""WITH RECURSIVE {_LEN}, rk AS (SELECT uid, lang, cost, pos, row_number() OVER (PARTITION BY lang ORDER BY score DESC, pos) AS r FROM l),
+bt AS (SELECT round_even(0.3 * sum(cost), 0) AS t FROM l), gr AS (SELECT lang, row_number() OVER (ORDER BY min(pos)) AS gi, sum(cost)::DOUBLE * (SELECT t FROM bt) / sum(sum(cost)) OVER () - sum(cost) FILTER (r <= 5) AS room, sum(cost) FILTER (r <= 5) AS fl FROM rk GROUP BY lang),
+ca AS (SELECT uid, cost::DOUBLE AS cost, gi, room, row_number() OVER (ORDER BY gi, r) AS rr FROM rk JOIN gr USING (lang) WHERE r > 5),
+go AS (SELECT 0::BIGINT AS rr, ((SELECT t FROM bt) - (SELECT sum(fl) FROM gr))::DOUBLE AS rest, 0.0::DOUBLE AS lft, 0::BIGINT AS gi, false AS took, '' AS uid
+  UNION ALL SELECT ca.rr, CASE WHEN ca.cost <= CASE WHEN ca.gi <> go.gi THEN least(room, rest) ELSE lft END THEN rest - ca.cost ELSE rest END,
+    CASE WHEN ca.gi <> go.gi THEN least(room, rest) ELSE lft END - CASE WHEN ca.cost <= CASE WHEN ca.gi <> go.gi THEN least(room, rest) ELSE lft END THEN ca.cost ELSE 0 END,
+    ca.gi, ca.cost <= CASE WHEN ca.gi <> go.gi THEN least(room, rest) ELSE lft END, ca.uid FROM go JOIN ca ON ca.rr = go.rr + 1)
+SELECT uid, lang, cost FROM rk WHERE r <= 5 OR uid IN (SELECT uid FROM go WHERE took)"""
+_RUNS = f"""WITH {_PRED}, ru AS (SELECT subject AS name, accuracy, round(accuracy - 1.96 * sqrt(accuracy * (1 - accuracy) / n), 4) AS low, round(accuracy + 1.96 * sqrt(accuracy * (1 - accuracy) / n), 4) AS high FROM by_),
+nr AS (SELECT CASE WHEN name = min(name) OVER () THEN '__base__' ELSE name END AS name, accuracy, low, high FROM ru)"""
+
+
 def oracle_sql() -> dict[str, str]:
     uni = _UNI.format(ns="random", key="uid")
     top = f"WITH {_LEN} SELECT uid, score, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM l QUALIFY rank <= "
@@ -323,13 +403,14 @@ def oracle_sql() -> dict[str, str]:
         "make_uid": "SELECT doc_id AS pos, printf('documents/train/%06d', doc_id) AS uid FROM documents",
         "shard_prune": "SELECT printf('chunk/pubmed23n%04d.jsonl', i) AS shard FROM range(1161, 1167) t(i)",
         "human_bytes": f"WITH {_D}, n AS (SELECT uid, pow(3.7, pos % 23) AS n FROM d) SELECT uid, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS size FROM n",
-        "limit_raw": f"WITH {_D} SELECT uid FROM (SELECT * FROM d ORDER BY pos LIMIT 100) WHERE length(trim(text)) >= 200",
-        "limit_kept": f"WITH {_D} SELECT uid FROM d WHERE length(trim(text)) >= 200 ORDER BY pos LIMIT 100",
+        "limit_raw": f"WITH {_D} SELECT uid FROM (SELECT * FROM d ORDER BY pos LIMIT 100) WHERE length({_strip('text')}) >= 200",
+        "limit_kept": f"WITH {_D} SELECT uid FROM d WHERE length({_strip('text')}) >= 200 ORDER BY pos LIMIT 100",
         "split_slice": f"WITH {_D} SELECT uid FROM d WHERE pos >= 50 AND pos < 120",
-        "filter_min_chars": f"WITH {_D} SELECT uid FROM d WHERE length(trim(text)) >= 200",
+        "filter_min_chars": f"WITH {_D} SELECT uid FROM d WHERE length({_strip('text')}) >= 200",
+        "filter_min_chars_padded": f"WITH {_D} SELECT uid FROM d WHERE length({_strip(_PADDED_SQL)}) >= 200",
         "dedup_first": f"WITH {_D} SELECT uid, pos FROM d QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY pos) = 1",
         "contamination_anti_join": f"WITH {_D} SELECT uid FROM d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) x USING (doc_id)",
-        "corpus_pipeline": f"WITH {_D}, a AS (SELECT * FROM d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) x USING (doc_id)), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id % 900 ORDER BY pos) = 1) SELECT uid, pos FROM b WHERE length(trim(text)) >= 200 ORDER BY pos LIMIT 500",
+        "corpus_pipeline": f"WITH {_D}, a AS (SELECT * FROM d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) x USING (doc_id)), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY pos) = 1) SELECT uid, pos FROM b WHERE length({_strip('text')}) >= 200",
         "corpus_stats": "SELECT count(*) AS n, 0::BIGINT AS with_title, round(avg(length(text)), 1) AS mean_chars, sum(length(text))::BIGINT AS total_chars FROM documents",
         "qa_stats": f"WITH {_Q} SELECT count(*) AS n, count(answer_key) AS n_labelled, round(count(answer_key) / count(*), 4) AS labelled_share, round(avg(length(question)), 1) AS mean_question_chars, count(*) AS with_four_options FROM q",
         "top_subjects": f"WITH {_Q} SELECT subject, count(*) AS n FROM q GROUP BY subject ORDER BY n DESC, min(pos) LIMIT 10",
@@ -357,6 +438,19 @@ def oracle_sql() -> dict[str, str]:
         "select_top_k_fraction": top + "(SELECT round_even(0.1 * count(*), 0) FROM l)",
         "select_top_k_tokens": f"WITH RECURSIVE {_LEN}, {_GREEDY.format(pool='l', budget=50_000)} SELECT uid, cost FROM rk JOIN go USING (r) WHERE took",
         "select_stratified": f"WITH {_LEN}, {quota} {ranked} ",
+        "select_stratified_floor": f"WITH {_LEN}, {_FLOOR_QUOTA} {ranked}",
+        "select_stratified_unknown": f"WITH {_LEN}, g AS (SELECT uid, score, pos, coalesce(CASE WHEN pos % 3 = 0 THEN lang END, 'unknown') AS grp FROM l), cg AS (SELECT grp, count(*) AS size, count(*)::HUGEINT * 100 // sum(count(*)) OVER () AS b FROM g GROUP BY grp), qt AS (SELECT grp, b + CASE WHEN row_number() OVER (ORDER BY size DESC, grp) <= 100 - sum(b) OVER () THEN 1 ELSE 0 END AS quota FROM cg) SELECT uid, grp FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, pos) AS r FROM g) JOIN qt USING (grp) WHERE r <= quota",
+        "select_stratified_tokens_floor": _FLOOR_TOKENS,
+        "cpt_prepare": rf"WITH {_LEN}, tk AS (SELECT pos, list_concat(regexp_extract_all(text, '\w+|[^\w\s]'), ['</s>']) AS w FROM (SELECT * FROM l ORDER BY score DESC, pos LIMIT 100)), st AS (SELECT *, coalesce(sum(len(w)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM tk), fl AS (SELECT s + unnest(range(len(w))) AS o, unnest(w) AS x FROM st) SELECT o // 512 AS block, count(*) AS n, md5(string_agg(x, ' ' ORDER BY o)) AS digest FROM fl GROUP BY block HAVING count(*) = 512",
+        "target_texts": f"WITH {_Q} SELECT uid, {_PROMPT} AS text FROM q ORDER BY pos LIMIT 2000",
+        "target_texts_completion": f"WITH {_Q} SELECT uid, concat({_PROMPT}, {_COMPLETION}) AS text FROM q WHERE answer_key IS NOT NULL ORDER BY pos LIMIT 50",
+        "metric_cache_join": f"WITH {_D} SELECT uid, length(text)::INTEGER AS metric FROM d",
+        "exclusion_union": "SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 OR quality = 0",
+        "mean_pool": "WITH v AS (SELECT concat('vec/', vec_id) AS uid, label % 2 AS m, embedding::DOUBLE[] AS a FROM embeddings), x AS (SELECT uid, unnest(range(64)) AS i, unnest(list_transform(range(1, 65), lambda j: (a[j] + m * a[65 - j]) / (1 + m))) AS x FROM v) SELECT uid, i::INTEGER AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY uid)), 9) AS x FROM x",
+        "delta_vs_base": f"{_RUNS} SELECT name, accuracy, round(accuracy - (SELECT accuracy FROM nr WHERE name = '__base__'), 9) AS delta FROM nr WHERE name <> '__base__'",
+        "results_table": rf"{_RUNS}, rt AS (SELECT *, round(accuracy - (SELECT accuracy FROM nr WHERE name = '__base__'), 9) AS delta FROM nr) SELECT name, accuracy, low, high, delta, printf('%s & %.4f & [%.4f, %.4f] & %+.4f \\', replace(name, '_', '\_'), accuracy, low, high, delta) AS latex FROM rt",
+        "judge_ablation": f"{_RUNS}, j AS (SELECT * FROM nr WHERE name IN (SELECT name FROM ru ORDER BY name DESC LIMIT 2)) SELECT a.name AS name_a, b.name AS name_b, round(a.accuracy - b.accuracy, 9) AS delta, a.low <= b.high AND b.low <= a.high AS overlap, CASE WHEN NOT (a.low <= b.high AND b.low <= a.high) THEN CASE WHEN a.accuracy > b.accuracy THEN a.name ELSE b.name END END AS winner FROM j a JOIN j b ON a.name < b.name",
+        "stream_fit_prefix": f"{_BOTH.replace('id >= 0', 'id BETWEEN 0 AND 199').replace('FROM gb JOIN m USING (bucket) WHERE id BETWEEN 0 AND 199', 'FROM gb JOIN m USING (bucket) WHERE id >= 0')} SELECT uid, round(w, 9) AS score FROM sc JOIN documents ON uid = concat('documents/', doc_id) ORDER BY w DESC, doc_id LIMIT 100",
         "select_stratified_tokens": f"""WITH RECURSIVE {_LEN}, sh AS (SELECT lang, sum(cost) * 50000.0 / sum(sum(cost)) OVER () AS share FROM l GROUP BY lang), rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, pos) AS r FROM l),
 go AS (SELECT lang, 0::BIGINT AS r, share AS rest, false AS took FROM sh UNION ALL SELECT rk.lang, rk.r, CASE WHEN cost <= rest THEN rest - cost ELSE rest END, cost <= rest FROM go JOIN rk ON rk.lang = go.lang AND rk.r = go.r + 1) SELECT uid, lang, cost FROM rk JOIN go USING (lang, r) WHERE took""",
         "allocate_quotas": f"WITH {_D}, {quota} SELECT lang, quota FROM qt",
@@ -368,7 +462,7 @@ go AS (SELECT lang, 0::BIGINT AS r, share AS rest, false AS took FROM sh UNION A
         "token_summary": sel + "SELECT sum(cost) FILTER (selected)::BIGINT AS selected_tokens, sum(cost)::BIGINT AS pool_tokens FROM s",
         "render_prompt": f"WITH {_Q} SELECT uid, {_PROMPT} AS prompt FROM q",
         "render_completion": f"WITH {_Q} SELECT uid, {_COMPLETION} AS completion FROM q",
-        "truncate_context": f"WITH {_D} SELECT uid, CASE WHEN length(trim(text)) > 2000 THEN concat('...', right(trim(text), 2000)) ELSE trim(text) END AS context FROM d",
+        "truncate_context": f"WITH {_D} SELECT uid, CASE WHEN length(t) > 2000 THEN concat('...', right(t, 2000)) ELSE t END AS context FROM (SELECT uid, {_strip('text')} AS t FROM d)",
         "mcq_accuracy": f"WITH {_PRED} SELECT count(*) AS n_scored, count(*) FILTER (correct) AS n_correct, round(avg(correct::INT), 4) AS accuracy, round(avg(correct_norm::INT), 4) AS accuracy_norm FROM pr",
         "accuracy_by_subject": f"WITH {_PRED} SELECT * FROM by_",
         "subject_spread": f"WITH {_PRED} SELECT count(*) AS n_subjects, round(avg(accuracy), 9) AS mean, round(var_pop(accuracy), 9) AS variance, round(stddev_pop(accuracy), 9) AS std, min(accuracy) AS min, max(accuracy) AS max, round(max(accuracy) - min(accuracy), 9) AS range, arg_min(subject, (accuracy, subject)) AS worst, arg_max(subject, (accuracy, subject)) AS best FROM by_ WHERE n >= 10",

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "siftwell", memory: str = "8g") -> SparkSession:
@@ -57,3 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = context._siftwell_dir = tempfile.mkdtemp(prefix="siftwell-")
     return found.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that steps over it read it instead of computing it again."""
+    path = f"{shared_dir(df.sparkSession)}/siftwell/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DECISIONS, letter_key
+from ..functions.text import DECISIONS, letter_key, strip
+from ..operators.select import ranked
 from .registry import LOADERS
 
 QA_SCHEMA = (
@@ -105,7 +106,7 @@ def normalize_nested_choice(raw: DataFrame, split: str = "train", source: str =
 def normalize_decision(raw: DataFrame, config: str, split: str = "train", source: str = "pubmedqa") -> DataFrame:
     """Rows with contexts and a yes/no/maybe decision, which may be absent."""
     raw = _numbered(raw, source, split)
-    decision = F.lower(F.trim("final_decision")) if "final_decision" in raw.columns else F.lit(None).cast("string")
+    decision = F.lower(strip(F.col("final_decision"))) if "final_decision" in raw.columns else F.lit(None).cast("string")
     key = F.coalesce(*[F.when(decision == v, k) for k, v in DECISIONS.items()])
     options = F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv])
     labels = _labels(config=F.lit(config), source_id=F.col("pubid").cast("string"), meshes=F.array_join("context.meshes", "; "), sections=F.array_join("context.labels", "; "))
@@ -115,13 +116,13 @@ def normalize_decision(raw: DataFrame, config: str, split: str = "train", source
 def normalize_article(raw: DataFrame) -> DataFrame:
     """Rows of id, title, content, PMID: text records named by the first of id, PMID and position that is set."""
     name = F.coalesce(F.when(F.col("id") != "", F.col("id")), F.when(F.col("PMID") != 0, F.col("PMID").cast("string")), F.col("pos").cast("string"))
-    return raw.select(F.concat(F.lit("pubmed/"), name).alias("uid"), F.lit("pubmed").alias("source"), F.col("content").alias("text"), F.coalesce("title", F.lit("")).alias("title"), F.create_map(F.lit("PMID"), F.col("PMID").cast("string")).alias("meta"), "pos")
+    return raw.select(F.concat(F.lit("pubmed/"), name).alias("uid"), F.lit("pubmed").alias("source"), strip(F.col("content")).alias("text"), F.coalesce(strip(F.col("title")), F.lit("")).alias("title"), F.create_map(F.lit("PMID"), F.col("PMID").cast("string")).alias("meta"), "pos")
 
 
 def invalid(records: DataFrame) -> DataFrame:
     """Records that break the rules of their type, with the first broken rule."""
     need = [c for c in ("uid", "source", "split", "question", "text") if c in records.columns]
-    broken = [F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", f"{c} is blank") for c in need]
+    broken = [F.when(strip(F.coalesce(F.col(c), F.lit(""))) == "", f"{c} is blank") for c in need]
     if "options" in records.columns:
         broken += [F.when(F.size("options") == 0, "options are empty"), F.when(F.col("answer_key").isNotNull() & ~F.coalesce(F.map_contains_key("options", F.col("answer_key")), F.lit(False)), "answer_key is not an option")]
     return records.withColumn("problem", F.coalesce(*broken)).where("problem is not null")
@@ -141,8 +142,11 @@ def read_shards(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
         path = fs.Path(f"{root}/{n}")
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             raise FileNotFoundError(f"{root}/{n}")
-    rows = spark.read.schema("id string, title string, content string, PMID long").json([f"{root}/{n}" for n in names])
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    kind = "id string, title string, content string, PMID long"
+    lines = spark.read.text([f"{root}/{n}" for n in names]).where(F.trim("value") != "")
+    file = F.array_position(F.array(*map(F.lit, names)), F.substring_index("_metadata.file_path", "/", -2 if "/" in names[0] else -1))
+    lines = lines.select(file.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.from_json("value", kind).alias("row"))
+    return ranked(lines, F.asc("_file"), F.asc("_block"), F.asc("_line")).select("row.*", (F.col("rank") - 1).alias("pos"))
 
 
 def cache_key(name: str, config: str, **identity) -> str:
@@ -154,8 +158,7 @@ def write_cache(df: DataFrame, root: str, source: str, split: str, key: str) ->
     """A zstd table and its manifest beside it, replaced as a whole."""
     path = f"{root}/{source}/{split}.parquet"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    schema = hashlib.sha256(df.schema.json().encode()).hexdigest()[:16]
-    body = json.dumps({"cache_key": key, "schema_hash": schema, "record_type": "qa" if "options" in df.columns else "doc"})
+    body = json.dumps({"cache_key": key, "schema_hash": _schema_hash(df.sparkSession.read.parquet(path)), "record_type": "qa" if "options" in df.columns else "doc"})
     df.sparkSession.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{source}/{split}.manifest")
     return path
 
@@ -167,9 +170,17 @@ def read_manifest(spark: SparkSession, root: str, source: str, split: str) -> di
     return json.loads(spark.read.text(path.toString()).first().value)
 
 
-def cache_is_valid(spark: SparkSession, root: str, source: str, split: str, key: str) -> bool:
+def _schema_hash(df: DataFrame) -> str:
+    return hashlib.sha256(df.schema.json().encode()).hexdigest()[:16]
+
+
+def cache_is_valid(spark: SparkSession, root: str, source: str, split: str, key: str, record_type: str | None = None) -> bool:
+    """Whether the table is there, of this loader key and, if given, record type, with the columns its manifest was written for."""
     found = read_manifest(spark, root, source, split)
-    return bool(found) and found["cache_key"] == key
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{source}/{split}.parquet")
+    if not found or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return False
+    return found["cache_key"] == key and record_type in (None, found["record_type"]) and found["schema_hash"] == _schema_hash(spark.read.parquet(path.toString()))
 
 
 def read_cache(spark: SparkSession, root: str, source: str, split: str, limit: int | None = None) -> DataFrame:
@@ -177,9 +188,13 @@ def read_cache(spark: SparkSession, root: str, source: str, split: str, limit: i
     return df if limit is None else df.orderBy("pos").limit(limit)
 
 
-def clear_cache(spark: SparkSession, root: str, source: str | None = None) -> bool:
+def clear_cache(spark: SparkSession, root: str, source: str | None = None) -> int:
+    """How many cached tables went."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{source}" if source else root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{source or '*'}/*.manifest"))
+    fs.delete(path, True)
+    return len(found or [])
 
 
 def write_selection(selected: DataFrame, path: str, **facts) -> None:

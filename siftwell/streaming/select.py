@@ -51,12 +51,18 @@ class TopKState:
         return self.spark.read.parquet(f"{self.root}/stats-{self.last}")
 
 
-def select_stream(stream: DataFrame, scorer: Scorer, budget: int, group: str | None = None) -> TopKState:
-    """Run a finite stream to its end; the state then holds all that a selection of up to ``budget`` records needs."""
+def select_stream(stream: DataFrame, scorer: Scorer, budget: int, group: str | None = None, prefix: DataFrame | None = None, fit_size: int = 10_000) -> TopKState:
+    """Run a finite stream to its end; the state then holds all that a selection of up to ``budget`` records needs.
+
+    ``prefix`` is the stream's source read as a table: the scorer is fitted on its first ``fit_size`` records, which the
+    stream then scores again with all others.
+    """
     if not isinstance(budget, int) or isinstance(budget, bool):
         raise ValueError("a stream needs a whole number of records as its budget")
     if not scorer.streams:
         raise ValueError("this scorer ranks within a pool and cannot stream")
+    if prefix is not None:
+        scorer.fit(prefix.orderBy("pos").limit(fit_size))
     state = TopKState(stream.sparkSession, budget, group)
     query = stream.writeStream.foreachBatch(lambda batch, n: state.fold(scorer.transform(batch), n)).option("checkpointLocation", f"{state.root}/log").trigger(availableNow=True).start()
     query.awaitTermination()
