@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training documents, words and n-grams of one order at most; longest n-gram; add-constant of the frequencies.
-SAMPLE, MOST_WORDS, MOST_GRAMS, LONGEST, SMOOTH = 6000, 60_000, 40_000, 5, 0.5
+#: Training documents of a language (about so many, those whose ids and texts hash lowest); words of a language and n-grams
+#: of a language and order that the model keeps, the most frequent; longest n-gram; add-constant of the frequencies.
+SAMPLE, MOST_WORDS, MOST_GRAMS, LONGEST, SMOOTH = 2000, 20_000, 15_000, 5, 0.5
 #: Words whose score a task remembers before it starts afresh.
 REMEMBERED = 200_000
 _word = re.compile(r"[^\W\d_]+")
@@ -20,22 +21,22 @@ UNKNOWN = "und"
 
 
 class Backoff:
-    """Scores of words by language. ``counts``: words of each language with their counts."""
-
-    def __init__(self, counts: dict[str, dict[str, int]]) -> None:
-        self.langs = sorted(counts)
-        table: list[dict[str, np.ndarray]] = []
-        for n in (0, *range(LONGEST, 0, -1)):
-            seen: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(self.langs))
-            for k, lang in enumerate(self.langs):
-                for w, c in counts[lang].items():
-                    for g in [w] if n == 0 else self.grams(w, n):
-                        seen[g][k] += c
-            names = sorted(seen, key=lambda g: (-sum(seen[g]), g))[: MOST_GRAMS if n else MOST_WORDS]
-            if names:
-                m = np.array([seen[g] for g in names]) + SMOOTH
-                table.append(dict(zip(names, np.log(m / m.sum(axis=0)), strict=True)))
-        self.words, self.orders = (table[0], list(zip(range(LONGEST, 0, -1), table[1:], strict=False))) if table else ({}, [])
+    """Scores of words by language. ``counts``: of order 0 (words) and 1 to ``LONGEST`` (n-grams), by language, what was seen how often."""
+
+    def __init__(self, counts: dict[int, dict[str, dict[str, int]]]) -> None:
+        self.langs = sorted(counts.get(0, {}))
+        place = {lang: k for k, lang in enumerate(self.langs)}
+        tables: dict[int, dict[str, np.ndarray]] = {}
+        for n, by_lang in counts.items():
+            names = sorted({g for seen in by_lang.values() for g in seen})
+            at = {g: i for i, g in enumerate(names)}
+            m = np.full((len(names), len(self.langs)), SMOOTH)
+            for lang, seen in by_lang.items():
+                for g, c in seen.items():
+                    m[at[g], place[lang]] += c
+            tables[n] = dict(zip(names, np.log(m / m.sum(axis=0)), strict=True))
+        self.words = tables.get(0, {})
+        self.orders = [(n, tables[n]) for n in range(LONGEST, 0, -1) if n in tables]
 
     @staticmethod
     def grams(word: str, n: int) -> list[str]:
@@ -53,25 +54,44 @@ class Backoff:
         return np.zeros(len(self.langs)) if found is None else found - found.max()
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Backoff:
-    """A model of at most ``sample`` of the documents with a language, those whose ids hash lowest."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, order, gram, count) of words with counts; order 0 is the word."""
+    for b in batches:
+        found: dict[tuple[str, int, str], int] = Counter()
+        for lang, w, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            found[lang, 0, w] += c
+            for n in range(1, LONGEST + 1):
+                for g in Backoff.grams(w, n):
+                    found[lang, n, g] += c
+        if found:
+            langs, orders, grams = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(grams, pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "order", "gram", "n"])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Backoff:
+    """A model of about ``sample`` of the documents of each language, fewer where there are fewer; equal rows count once."""
     known = docs.where("lang is not null and text is not null")
-    ids = known.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(sample).select("doc_id").distinct()
-    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("_share"))  # one row a language
+    place = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
+    rows = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")).join(F.broadcast(share), "lang").where(place < F.col("_share"))
+    rows = rows.groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], int] = Counter()
         for b in batches:
+            found: dict[tuple[str, str], int] = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(_word.findall(text.lower())).items():
                     found[lang, w] += n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {r.lang: {} for r in rows.select("lang").distinct().collect()}
-    for r in words.orderBy(F.desc("n"), "word", "lang").limit(MOST_WORDS).collect():
-        counts[r.lang][r.word] = r.n
+    seen = words.mapInArrow(_grams, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    top = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram"))  # of a bounded sample
+    seen = seen.withColumn("_r", top).where(F.col("_r") <= F.when(F.col("order") == 0, most_words).otherwise(most_grams)).drop("_r")
+    counts: dict[int, dict[str, dict[str, int]]] = {}
+    for lang, order, gram, n in seen.toArrow().to_pandas().itertuples(index=False):
+        counts.setdefault(order, {}).setdefault(lang, {})[gram] = n
     return Backoff(counts)
 
 

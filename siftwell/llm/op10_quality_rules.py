@@ -22,6 +22,8 @@ RULES = (
     ("stop_word_ratio", 0.02, None),
     ("shouting_ratio", None, 0.7),
 )
+#: Words below which the stop words of a text say nothing: the ratio is null there, so short texts pass that rule.
+LEAST_JUDGED = 50
 #: The base rule: least words, and most repeated words in a hundred.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
@@ -51,7 +53,7 @@ def _repeated(words: Column, n: int = WINDOW) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` as doc_id, text and the base measures."""
+    """doc_id and the measures of each row of ``docs``; of null and empty texts all are 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -82,7 +84,7 @@ def quality(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
         "mean_word_chars": ratio("word_chars", "n_words"),
         "symbol_ratio": ratio("n_symbols", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-        "stop_word_ratio": F.when(F.col("n_words") >= 50, F.col("stops")),
+        "stop_word_ratio": F.when(F.col("n_words") >= LEAST_JUDGED, F.col("stops")),
         "shouting_ratio": ratio("n_capitals", "word_chars"),
     }
     good = F.lit(True)

@@ -72,6 +72,42 @@ def test_language(docs):
     assert op4.identify(docs.where("false")).count() == 0
 
 
+def test_language_by_hand(docs):
+    """Word-first backoff in plain Python, without any bound."""
+    rows_ = [r for r in {(r[0], r[1], r[2]) for r in rows()} if r[1] is not None]
+    letters = re.compile(r"[^\W\d_]+")
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 3 == 1
+    seen = {n: {} for n in range(6)}
+    grams = lambda w, n: [w] if n == 0 else [x[i : i + n] for x in [f"^{w}$" if n > 1 else w] for i in range(len(x) - n + 1)] or [f"^{w}$"]
+    for i, text, lang in rows_:
+        if lang and not held(i):
+            for w in letters.findall(text.lower()):
+                for n in range(6):
+                    for g in grams(w, n):
+                        seen[n].setdefault(lang, Counter())[g] += 1
+    langs = sorted(seen[0])
+    names = {n: {g for c in seen[n].values() for g in c} for n in range(6)}
+    total = {n: [sum(seen[n][x].values()) + op4.SMOOTH * len(names[n]) for x in langs] for n in range(6)}
+    log = lambda n, g: np.array([math.log((seen[n][x][g] + op4.SMOOTH) / t) for x, t in zip(langs, total[n])])
+
+    def word(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            got = [log(n, g) for g in grams(w, n) if g in names[n]]
+            if got and (n == 0 or 2 * len(got) >= max(1, len(w) + 3 - n)):
+                return np.mean(got, axis=0)
+        return np.zeros(len(langs))
+
+    for r in op4.identify(docs).collect():
+        text = next((t for i, t, *_ in rows() if i == r.doc_id), None)
+        found = letters.findall((text or "").lower())
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        z = sum(word(w) - word(w).max() for w in found)
+        p = np.exp(z - z.max())
+        assert r.lang_pred == langs[int(z.argmax())] and math.isclose(r.score, p.max() / p.sum(), rel_tol=1e-6)
+
+
 def test_lm_base(docs):
     toks = [[w.lower() for w in WORD.findall(r[1] or "")] + [""] for r in rows()]
     held = [zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 10 == 0 for r in rows()]
