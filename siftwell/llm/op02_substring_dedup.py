@@ -17,16 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernel import Prefix, mix, text_chunks, word_hashes, words
-from .repeats import Front, identified, join_small, merged, repeated_spans
+from .kernel import BYTE_VALUE, Prefix, mix, text_chunks, word_hashes, words
+from .repeats import Front, identified, merged, repeated_spans
 
 ROUNDS = 3
 _FAR = 1 << 40
+_OTHER_VALUE = mix(BYTE_VALUE + np.uint64(0x51))
 
 
-def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = words(data, offsets)
-    return word_hashes(data, starts, ends), first
+    return word_hashes(data, starts, ends), Prefix(_OTHER_VALUE[data]).of(starts, ends), first
 
 
 def _join(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, glue: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -116,8 +117,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, wit
     an empty result; other columns are not read.
     """
     docs = identified(docs)
-    spans = repeated_spans(docs, _front(window, rounds), earlier=True, tag="op2")
-    joined = join_small(docs, spans, ["rid"], "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, _front(window, rounds), "op2")
+    joined = docs.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
     out = joined.mapInArrow(_cut(with_text), OUT)
     return out if with_text else out.drop("kept")
 

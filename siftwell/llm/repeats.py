@@ -1,4 +1,4 @@
-"""Exact search for windows of fixed length that occur more than once in a corpus.
+"""Exact search for windows of fixed length that an earlier document of a corpus holds.
 
 A *front* turns a document into elements (bytes or words) and symbols found from content alone. A symbol
 ``[lo, hi)`` is found again wherever the elements ``lo .. hi`` stand, so two equal windows hold the same symbols.
@@ -11,7 +11,7 @@ Four steps then halve in on the repeats, each over only what the step before cou
    elements that all windows of the cell share, and compared in the same two ways;
 4. the windows of cells that still differ are compared one by one.
 
-All comparisons are of 64-bit fingerprints in Spark aggregations with map-side combining; no group is gathered in a
+Equality is that of two independent 64-bit fingerprints, in Spark aggregations with map-side combining; no group is gathered in a
 task or on the driver. Windows without a symbol go to step 2 as runs of one window.
 """
 
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Prefix, text_chunks
-from .store import join_small, stash
+from .store import free, join_counted, stash
 
 _LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Front:
-    """``elements(data, offsets)`` gives (values of the elements, first element of each document);
+    """``elements(data, offsets)`` gives (values of the elements, other values of them, first element of each document);
     ``symbols(data, offsets, elements, prefix)`` gives (lo, hi, priority, document) of each symbol, in text order."""
 
     window: int
@@ -91,7 +91,7 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-RUNS = "key long, whole long, rid long, doc long, first int, last int, lo int"
+RUNS = "key long, whole long, other long, rid long, doc long, first int, last int, lo int"
 
 
 def _runs(front: Front) -> Callable:
@@ -99,23 +99,23 @@ def _runs(front: Front) -> Callable:
         for batch in batches:
             rid, ids = _column(batch, "rid"), _column(batch, "doc")
             for row, _, data, offsets in text_chunks(batch):
-                values, bounds = front.elements(data, offsets)
-                prefix = Prefix(values)
+                values, others, bounds = front.elements(data, offsets)
+                prefix, second = Prefix(values), Prefix(others)
                 lo, hi, rank, doc = front.symbols(data, offsets, bounds, values, prefix)
                 first, last = settle(lo, hi, rank, doc, front.window, bounds[:-1], bounds[1:])
                 ok = first <= last
                 first, last, lo, hi, doc = first[ok], last[ok], lo[ok], hi[ok], doc[ok]
-                key, whole = prefix.of(lo, hi), prefix.of(first, last + front.window)
+                key, whole, other = prefix.of(lo, hi), prefix.of(first, last + front.window), second.of(first, last + front.window)
                 lone = uncovered(first, last, front.window, bounds)
                 if len(lone):
                     h = prefix.of(lone, lone + front.window)
-                    key, whole = np.concatenate([key, h]), np.concatenate([whole, h])
+                    key, whole, other = np.concatenate([key, h]), np.concatenate([whole, h]), np.concatenate([other, second.of(lone, lone + front.window)])
                     first, last, lo = np.concatenate([first, lone]), np.concatenate([last, lone]), np.concatenate([lo, lone])
                     doc = np.concatenate([doc, np.searchsorted(bounds, lone, "right") - 1])
                 base = bounds[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [_i64(key), _i64(whole), _i64(rid[row + doc]), _i64(ids[row + doc]), _i32(first - base), _i32(last - base), _i32(lo - base)],
-                    ["key", "whole", "rid", "doc", "first", "last", "lo"],
+                    [_i64(key), _i64(whole), _i64(other), _i64(rid[row + doc]), _i64(ids[row + doc]), _i32(first - base), _i32(last - base), _i32(lo - base)],
+                    ["key", "whole", "other", "rid", "doc", "first", "last", "lo"],
                 )
 
     return run
@@ -129,7 +129,7 @@ def _asked(batch: pa.RecordBatch, row: int, end: int) -> tuple[np.ndarray, list[
     return np.repeat(np.arange(end - row), counts), [np.asarray(x).astype(np.int64) for x in flat.flatten()]
 
 
-CELLS = "key long, whole long, rid long, doc long, first int, last int"
+CELLS = "key long, whole long, other long, rid long, doc long, first int, last int"
 
 
 def _cells(front: Front) -> Callable:
@@ -138,8 +138,8 @@ def _cells(front: Front) -> Callable:
         for batch in batches:
             rid, ids = _column(batch, "rid"), _column(batch, "doc")
             for row, end, data, offsets in text_chunks(batch):
-                values, bounds = front.elements(data, offsets)
-                prefix = Prefix(values)
+                values, others, bounds = front.elements(data, offsets)
+                prefix, second = Prefix(values), Prefix(others)
                 doc, (first, last, lo) = _asked(batch, row, end)
                 least, most = (lo - last) // g, (lo - first) // g
                 times = most - least + 1
@@ -149,9 +149,9 @@ def _cells(front: Front) -> Callable:
                 a, b = np.maximum(first[which], latest - g + 1), np.minimum(last[which], latest)
                 base = bounds[doc[which]]
                 key = prefix.of(base + latest, base + latest - g + 1 + k)
-                whole = prefix.of(base + a, base + b + k)
+                whole, other = prefix.of(base + a, base + b + k), second.of(base + a, base + b + k)
                 at = row + doc[which]
-                yield pa.RecordBatch.from_arrays([_i64(key), _i64(whole), _i64(rid[at]), _i64(ids[at]), _i32(a), _i32(b)], ["key", "whole", "rid", "doc", "first", "last"])
+                yield pa.RecordBatch.from_arrays([_i64(key), _i64(whole), _i64(other), _i64(rid[at]), _i64(ids[at]), _i32(a), _i32(b)], ["key", "whole", "other", "rid", "doc", "first", "last"])
 
     return run
 
@@ -161,15 +161,15 @@ def _windows(front: Front) -> Callable:
         for batch in batches:
             rid, ids = _column(batch, "rid"), _column(batch, "doc")
             for row, end, data, offsets in text_chunks(batch):
-                values, bounds = front.elements(data, offsets)
-                prefix = Prefix(values)
+                values, others, bounds = front.elements(data, offsets)
+                prefix, second = Prefix(values), Prefix(others)
                 doc, (first, last) = _asked(batch, row, end)[0], _asked(batch, row, end)[1][:2]
                 times = last - first + 1
                 which = np.repeat(np.arange(len(doc)), times)
                 at = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + first[which]
                 start = bounds[doc[which]] + at
-                h, r = prefix.of(start, start + front.window), row + doc[which]
-                yield pa.RecordBatch.from_arrays([_i64(h), _i64(h), _i64(rid[r]), _i64(ids[r]), _i32(at), _i32(at)], ["key", "whole", "rid", "doc", "first", "last"])
+                h, other, r = prefix.of(start, start + front.window), second.of(start, start + front.window), row + doc[which]
+                yield pa.RecordBatch.from_arrays([_i64(h), _i64(h), _i64(other), _i64(rid[r]), _i64(ids[r]), _i32(at), _i32(at)], ["key", "whole", "other", "rid", "doc", "first", "last"])
 
     return run
 
@@ -179,52 +179,47 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("doc"), "doc_id", "text")
 
 
-def _several(rows: DataFrame, by: list[str], earlier: bool) -> DataFrame:
-    """The values of ``by`` that more than one row has; for ``earlier``, more than one document."""
-    if earlier:
-        return rows.groupBy(*by).agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select(*by)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*by)
-
-
-def _compare(rows: DataFrame, earlier: bool, tag: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows settled as repeats, rows to ask among those of one key that differ: one of each kind of content; for
-    ``earlier``, all rows of the kind's least document, as those do not settle each other)."""
-    # A table of its own, so that both sides of the join are plain exchanges and adaptive execution can split a hot key;
-    # these sides grow with the corpus, so they are sorted and merged at every size, never broadcast.
-    several = stash(_several(rows, ["key"], earlier), f"{tag}-several")
-    rows = stash(rows.join(several.hint("merge"), "key"), f"{tag}-shared")
-    kinds = stash(
-        rows.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.min(F.struct("doc", "rid", *fields)).alias("one")), f"{tag}-kinds"
-    )
-    found = rows.join(kinds.where("n > 1").select("key", "whole", "least").hint("merge"), ["key", "whole"])
-    found = found.where("doc > least") if earlier else found
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    kinds = kinds.join(mixed, "key")
-    if not earlier:
-        return found.select("rid", "first", "last"), kinds.select("one.*")
-    ask = rows.join(kinds.select("key", "whole", "least").hint("merge"), ["key", "whole"]).where("doc = least")
-    return found.select("rid", "first", "last"), ask.select("rid", *fields)
+KIND = ["key", "whole", "other"]
+
+
+def _counted(rows: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """The values of ``by`` that more than one document has, with their rows and least document."""
+    seen = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+    return stash(seen.where("least < most").drop("most"), tag)
 
 
-def repeated_spans(docs: DataFrame, front: Front, earlier: bool, tag: str) -> DataFrame:
-    """(rid, spans array<struct<a int, b int>>): element ranges of ``identified`` documents covered by repeats.
+def _compare(rows: DataFrame, tag: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows settled as repeats of an earlier document, rows to ask among those of one key that differ: all of the kind's
+    least document, as those do not settle each other)."""
+    several = _counted(rows, ["key"], f"{tag}-several")
+    shared = stash(join_counted(rows, several.select("key", "_n"), ["key"]).drop("_n"), f"{tag}-shared")
+    kinds = stash(shared.groupBy(*KIND).agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("least")), f"{tag}-kinds")
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    known = stash(join_counted(shared, kinds, KIND).join(mixed.withColumn("mixed", F.lit(True)).hint("merge"), "key", "left"), f"{tag}-known")
+    free(rows, several, shared, kinds)
+    ask = known.where("mixed and doc = least").select("rid", *fields)
+    return known.where("doc > least").select("rid", "first", "last"), ask
+
 
-    A window repeats if it starts anywhere else; with ``earlier``, if it starts in a document with a smaller id.
-    Spans may overlap. Documents without repeats have no row.
+def repeated_spans(docs: DataFrame, front: Front, tag: str) -> DataFrame:
+    """(rid, spans array<struct<a int, b int>>): element ranges of ``identified`` documents covered by windows that start
+    in a document with a smaller id. Spans may overlap. Documents without repeats have no row.
     """
     source = docs.select("rid", "doc", "text")
 
     def asked(reps: DataFrame, fields: list[str], name: str) -> DataFrame:
         asks = stash(reps.groupBy("rid").agg(F.collect_set(F.struct(*fields)).alias("asked")), name)  # bounded by the document
-        return join_small(source, asks, ["rid"])
+        return source.join(asks.hint("merge"), "rid")
 
     runs = stash(source.mapInArrow(_runs(front), RUNS), f"{tag}-runs")
-    done, reps = _compare(runs, earlier, f"{tag}-runs", ["first", "last", "lo"])
+    done, reps = _compare(runs, f"{tag}-runs", ["first", "last", "lo"])
     cells = stash(asked(reps, ["first", "last", "lo"], f"{tag}-ask").mapInArrow(_cells(front), CELLS), f"{tag}-cells")
-    done2, reps = _compare(cells, earlier, f"{tag}-cells", ["first", "last"])
+    free()
+    done2, reps = _compare(cells, f"{tag}-cells", ["first", "last"])
     last = stash(asked(reps, ["first", "last"], f"{tag}-ask2").mapInArrow(_windows(front), CELLS), f"{tag}-windows")
-    least = last.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
-    done3 = last.join(least.where("n > 1"), "key").where("doc > least" if earlier else "true").select("rid", "first", "last")
+    free()
+    earliest = _counted(last, KIND, f"{tag}-earliest")
+    done3 = join_counted(last, earliest, KIND).where("doc > least").select("rid", "first", "last")
     spans = done.unionByName(done2).unionByName(done3)
     return stash(spans.groupBy("rid").agg(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("last") + front.window).alias("b"))).alias("spans")), f"{tag}-spans")
 
