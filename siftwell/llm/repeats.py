@@ -193,12 +193,15 @@ def _compare(rows: DataFrame, tag: str, fields: list[str]) -> tuple[DataFrame, D
     least document, as those do not settle each other)."""
     several = _counted(rows, ["key"], f"{tag}-several")
     shared = stash(join_counted(rows, several.select("key", "_n"), ["key"]).drop("_n"), f"{tag}-shared")
-    kinds = stash(shared.groupBy(*KIND).agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("least")), f"{tag}-kinds")
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    known = stash(join_counted(shared, kinds, KIND).join(mixed.withColumn("mixed", F.lit(True)).hint("merge"), "key", "left"), f"{tag}-known")
-    free(rows, several, shared, kinds)
-    ask = known.where("mixed and doc = least").select("rid", *fields)
-    return known.where("doc > least").select("rid", "first", "last"), ask
+    free(rows, several)
+    kinds = stash(shared.groupBy(*KIND).agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("least"), F.max("doc").alias("most")), f"{tag}-kinds")
+    mixed = stash(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"), f"{tag}-mixed")
+    open_ = stash(join_counted(kinds.select(*KIND, "_n", "least"), mixed, ["key"], "_m").drop("_m"), f"{tag}-open")
+    found = join_counted(shared, kinds.where("least < most").select(*KIND, "_n", "least"), KIND).where("doc > least").select("rid", "first", "last")
+    ask = join_counted(shared, open_, KIND).where("doc = least").select("rid", *fields)
+    found, ask = stash(found, f"{tag}-found"), stash(ask, f"{tag}-asks")
+    free(shared, kinds, mixed, open_)
+    return found, ask
 
 
 def repeated_spans(docs: DataFrame, front: Front, tag: str) -> DataFrame:
