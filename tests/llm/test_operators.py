@@ -119,6 +119,50 @@ def test_lm_base(docs):
     assert all(r.train_tokens == n and r.score < 0 for r in out)
 
 
+def test_lm_phrases(spark):
+    def cut(text):
+        out, now = [], []
+        for w in WORD.findall((text or "").lower()):
+            b = np.frombuffer(w.encode(), np.uint8)
+            now.append(w)
+            if (int(op5.word_hashes(b, np.array([0]), np.array([len(b)]))[0]) >> 32) % op5.SPAN == 0:
+                out.append(tuple(now))
+                now = []
+        return [*out, (*now, None)]
+
+    texts = [r[1] for r in rows()] + [f"{EN} {DE} {EN}", f"{DE} {DE} {EN}"]
+    held = [i % 4 == 0 for i in range(len(texts))]
+    cuts = [cut(t) for t in texts]
+    assert max(map(len, cuts)) > 2
+    keyed = [[(q, (c[i - 1] if i else None, q)) for i, q in enumerate(c)] for c in cuts]
+    total = [Counter(k[x] for d, h in zip(keyed, held) if not h for k in d) for x in (0, 1)]
+    want = []
+    for d, h in zip(keyed, held):
+        own = [Counter(k[x] for k in d) for x in (0, 1)]
+        want.append({(2 * i + x, n) for i, k in enumerate(d) for x in (0, 1) if (n := total[x][k[x]] - (0 if h else own[x][k[x]])) > 0})
+    df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(zip(held, texts))], "rid long, held boolean, text string")
+    lists, odds, phrases, begun = op5.train_phrases(df.repartition(3))
+    assert {r.rid: {tuple(x) for x in r.found} for r in lists.collect()} == {i: w for i, w in enumerate(want) if w}
+    assert (phrases, begun) == (sum(len(c) for c, h in zip(cuts, held) if not h), held.count(False))
+    hows = [[2 if 2 * i + 1 in dict(w) else 1 if 2 * i in dict(w) else 0 for i in range(len(c))] for c, w in zip(cuts, want)]
+    seen = Counter(p for w, h in zip(hows, held) if not h for p in zip([3, *w], w))
+    plain = np.array([[seen[g, o] + 0.5 for o in range(3)] for g in range(4)])
+    assert np.allclose(odds, plain / plain.sum(axis=1, keepdims=True))
+    for text, h, c, w, how in zip(texts, held, cuts, want, hows):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        starts, ends, first = op5.words(data, np.array([0, len(data)]))
+        found = op5.pa.array([[{"place": a, "times": b} for a, b in sorted(w)]], op5.pa.list_(op5.pa.struct([("place", op5.pa.int32()), ("times", op5.pa.int64())])))
+        got, new = op5.phrase_scores(found, op5.Phrases(op5.word_hashes(data, starts, ends), first), np.array([h]), odds, phrases, begun)
+        score, times, steps = 0.0, dict(w), list(zip([3, *how], how))
+        for i, (g, o) in enumerate(steps):
+            score += math.log10((4 * odds[g, o] + steps[:i].count((g, o))) / (4 + sum(x == g for x, _ in steps[:i])))
+            if o == 2:
+                score += math.log10(times[2 * i + 1] / (times[2 * i - 2] if i else begun - (not h)))
+            elif o == 1:
+                score += math.log10(times[2 * i] / phrases)
+        assert math.isclose(got[0], score, rel_tol=1e-9) and list(new) == [o == 0 for o in how]
+
+
 def test_lm_compresses_held_out_text(spark):
     path = Path("/root/testdata/sf0.001/documents.parquet")
     if not path.exists():
