@@ -388,6 +388,20 @@ _RUNS = f"""WITH {_PRED}, ru AS (SELECT subject AS name, accuracy, round(accurac
 nr AS (SELECT CASE WHEN name = min(name) OVER () THEN '__base__' ELSE name END AS name, accuracy, low, high FROM ru)"""
 
 
+_KCENTER = """
+WITH RECURSIVE v AS (SELECT label, vec_id AS pos, embedding::DOUBLE[] AS a FROM embeddings),
+m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(a[i]) AS x FROM v, range(1, 65) t(i) GROUP BY ALL) GROUP BY label),
+f AS (SELECT v.*, row_number() OVER (PARTITION BY label ORDER BY list_distance(a, c), pos) = 1 AS now FROM v JOIN m USING (label)),
+k AS (
+  SELECT 0::BIGINT AS rank, label, pos, a, 'inf'::DOUBLE AS gap, now, now AS taken FROM f
+  UNION ALL
+  SELECT rank + 1, label, pos, a, gap, n, taken OR n FROM (
+    SELECT *, NOT taken AND row_number() OVER (PARTITION BY label ORDER BY taken, gap DESC, pos) = 1 AS n FROM (
+      SELECT rank, label, pos, a, taken, least(gap, list_distance(a, first_value(a) OVER (PARTITION BY label ORDER BY now DESC))) AS gap, bool_and(taken) OVER (PARTITION BY label) AS over_
+      FROM k) WHERE NOT over_))
+SELECT label, pos, rank FROM k WHERE now"""
+
+
 def oracle_sql() -> dict[str, str]:
     uni = _UNI.format(ns="random", key="uid")
     top = f"WITH {_LEN} SELECT uid, score, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM l QUALIFY rank <= "
@@ -446,6 +460,7 @@ def oracle_sql() -> dict[str, str]:
         "target_texts_completion": f"WITH {_Q} SELECT uid, concat({_PROMPT}, {_COMPLETION}) AS text FROM q WHERE answer_key IS NOT NULL ORDER BY pos LIMIT 50",
         "metric_cache_join": f"WITH {_D} SELECT uid, length(text)::INTEGER AS metric FROM d",
         "exclusion_union": "SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 OR quality = 0",
+        "kcenter_order": _KCENTER,
         "mean_pool": "WITH v AS (SELECT concat('vec/', vec_id) AS uid, label % 2 AS m, embedding::DOUBLE[] AS a FROM embeddings), x AS (SELECT uid, unnest(range(64)) AS i, unnest(list_transform(range(1, 65), lambda j: (a[j] + m * a[65 - j]) / (1 + m))) AS x FROM v) SELECT uid, i::INTEGER AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY uid)), 9) AS x FROM x",
         "delta_vs_base": f"{_RUNS} SELECT name, accuracy, round(accuracy - (SELECT accuracy FROM nr WHERE name = '__base__'), 9) AS delta FROM nr WHERE name <> '__base__'",
         "results_table": rf"{_RUNS}, rt AS (SELECT *, round(accuracy - (SELECT accuracy FROM nr WHERE name = '__base__'), 9) AS delta FROM nr) SELECT name, accuracy, low, high, delta, printf('%s & %.4f & [%.4f, %.4f] & %+.4f \\', replace(name, '_', '\_'), accuracy, low, high, delta) AS latex FROM rt",

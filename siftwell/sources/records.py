@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DECISIONS, letter_key, strip
 from ..operators.select import ranked
+from ..session import ship
 from .registry import LOADERS
 
 QA_SCHEMA = (
@@ -21,7 +22,7 @@ SHARDS, SHARD_NAME, VERSION = 1166, "chunk/pubmed23n{:04d}.jsonl", 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @LOADERS.register("documents")
@@ -204,8 +205,8 @@ def write_selection(selected: DataFrame, path: str, **facts) -> None:
 
 
 def read_selection(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, rank) of a manifest; one without uids is refused."""
+    """(uid, rank) of a manifest, with its source and split where it names them; one without uids is refused."""
     df = spark.read.json(path)
     if "selected_uids" not in df.columns:
         raise ValueError(f"{path} has no selected_uids")
-    return df.select(F.posexplode("selected_uids").alias("rank", "uid"))
+    return df.select(F.posexplode("selected_uids").alias("rank", "uid"), *[c for c in ("source", "split") if c in df.columns])
