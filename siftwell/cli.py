@@ -1,4 +1,4 @@
-"""Command line: info, data list, data stats, data prepare, select, eval; results are printed as JSON."""
+"""Command line: info, data list, data stats, data prepare, select, eval, stage (the data of an experiment); results are printed as JSON."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import experiment
 from .functions import text as t
 from .operators import evaluate, select
 from .session import get_spark
@@ -53,6 +54,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict | list:
         return {"spark": spark.version, "loaders": LOADERS.names(), "scorers": SCORERS.names(), "stages": STAGES.names()}
     if args.command == "data" and args.what == "list":
         return [{"name": n, "about": (LOADERS.get(n).__doc__ or "").split("\n")[0]} for n in LOADERS.names()]
+    if args.command == "stage":
+        plan = experiment.load(args.config)
+        df = experiment.prepare(spark, plan, args.tables)
+        if args.output:
+            df.write.mode("overwrite").parquet(args.output)
+            df = spark.read.parquet(args.output)
+        return {"experiment": experiment.as_dict(plan), "n": df.count(), "written_to": args.output}
     df = LOADERS.get(args.source)(spark, args.tables)
     if args.limit is not None:
         df = df.orderBy("pos").limit(args.limit)
@@ -90,6 +98,10 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="siftwell")
     sub = out.add_subparsers(dest="command", required=True)
     sub.add_parser("info")
+    stage = sub.add_parser("stage")
+    stage.add_argument("--config", required=True, help="YAML file of the experiment")
+    stage.add_argument("--tables", help="folder of the tables")
+    stage.add_argument("--output")
     for name, *extra in (("data", "what"), ("select",), ("eval",)):
         cmd = sub.add_parser(name)
         if extra:

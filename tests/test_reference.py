@@ -301,3 +301,37 @@ def test_command_line(spark, tmp_path):
     assert out["n"] == 20 and records.read_selection(spark, f"{tmp_path}/m").count() == 20
     assert run("select", "--tables", str(here), "--budget", "4000", "--tokens", "--group", "lang")["tokens"] <= 4000
     assert run("data", "prepare", "--tables", str(here), "--source", "parts", "--output", f"{tmp_path}/c", "--limit", "5")["n"] == 5
+
+
+def test_experiments(spark, tmp_path):
+    from pathlib import Path
+
+    from siftwell import cli, experiment
+
+    pytest.importorskip("yaml")
+
+    def load(text: str):
+        (tmp_path / "run.yaml").write_text(text)
+        return experiment.load(tmp_path / "run.yaml")
+
+    (tmp_path / "small.yaml").write_text("name_or_path: none\nlora_r: 4\n")
+    good = "name: one\nstage: cpt\ndata: {source: documents}\nmodel: small.yaml\n"
+    plan = load(good + "train: {block_size: 64}\n")
+    assert (plan.model.lora_r, plan.model.lora_alpha, plan.train.block_size, plan.train.seed, plan.data.split, plan.notes) == (4, 32, 64, 42, "train", "")
+    assert load(good + "train:\n").train.learning_rate == 2e-5 and experiment.as_dict(plan)["data"]["source"] == "documents"
+    for text, why in ((good + "traim: {}\n", "traim"), (good + "train: {learning_rare: 1}\n", "learning_rare"), ("stage: cpt\n", "lacks"), ("- a\n", "no mapping"), (good + "train: 3\n", "neither")):
+        with pytest.raises(ValueError, match=why):
+            load(text)
+    for text in (good.replace("small", "none"), None):
+        with pytest.raises(FileNotFoundError):
+            load(text) if text else experiment.load(tmp_path / "no.yaml")
+    here = Path("/root/testdata/sf0.001")
+    if not here.exists():
+        pytest.skip("no tables")
+    run = lambda *a: cli.run(spark, cli.parser().parse_args(a))
+    run("select", "--tables", str(here), "--scorer", "length", "--budget", "0.1", "--output", f"{tmp_path}/m")
+    (tmp_path / "run.yaml").write_text(good.replace("documents}", f"documents, selection: {tmp_path}/m}}") + "train: {block_size: 64}\n")
+    out = run("stage", "--config", f"{tmp_path}/run.yaml", "--tables", str(here), "--output", f"{tmp_path}/blocks")
+    assert out["n"] > 0 and {len(r.labels) for r in spark.read.parquet(f"{tmp_path}/blocks").collect()} == {64}
+    with pytest.raises(ValueError, match="not 'pages'"):
+        experiment.prepare(spark, load(good.replace("documents}", f"pages, selection: {tmp_path}/m}}")), str(here))
