@@ -163,6 +163,54 @@ def test_lm_phrases(spark):
         assert math.isclose(got[0], score, rel_tol=1e-9) and list(new) == [o == 0 for o in how]
 
 
+def test_lm_joined_score(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    known = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text", held.alias("held"))
+    table = known.collect()
+    number = lambda w: int(op5.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)[0]) if w else 0
+    texts = [re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "") for r in table]
+    toks = [[*WORD.findall(t), ""] for t in texts]
+    keys, logs = op5.train_classes(known)
+    place = {int(k): i for i, k in enumerate(keys)}
+    inside = [Counter() for _ in range(op5.CLASSES)]
+    for r, t in zip(table, toks):
+        if not r.held:
+            fit = sum((logs[place[number(w)]] for w in t[:-1] if number(w) in place), np.zeros(op5.CLASSES))
+            inside[int(np.argmax(fit))].update(t)
+    c = sum(inside, Counter())
+    n, kinds, sizes = sum(c.values()), len(c), [sum(k.values()) for k in inside]
+    mixer = op5.train_mixer(spark.createDataFrame([(number(w), w.encode(), k) for w, k in c.items()], "h long, word binary, c long"), kinds)
+    distinct = sorted({w for t in toks for w in t})
+    spelled = dict(zip(distinct, mixer.spell(*op5._with_ends(op5.pa.array([w.encode() for w in distinct], op5.pa.binary())))))
+    chance = {w: max(c[w] - op5.DISCOUNT, 0) / n + op5.DISCOUNT * kinds / n * 10 ** spelled[w] for w in distinct}
+    lists, odds, phrases, begun = op5.train_phrases(known.select("rid", "held", "text"))
+    met = {r.rid: sorted(tuple(x) for x in r.found) for r in lists.collect()}
+    kind = op5.pa.list_(op5.pa.struct([("place", op5.pa.int32()), ("times", op5.pa.int64())]))
+    want = []
+    for r, text, t in zip(table, texts, toks):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, first = op5.words(data, np.array([0, len(data)]))
+        p = op5.Phrases(op5.word_hashes(data, starts, ends), first)
+        found = op5.pa.array([[{"place": a, "times": b} for a, b in met[r.rid]] if r.rid in met else None], kind)
+        got, new = op5.phrase_scores(found, p, np.array([r.held]), odds, phrases, begun)
+        use = [*new[p.word], new[p.last[0]]]
+        each = []
+        for k, size in zip(inside, sizes):
+            for s in op5.STRENGTHS:
+                steps = [(t[:i].count(w) + s * (k[w] + op5.DRAW * chance[w]) / (size + op5.DRAW)) / (i + s) for i, w in enumerate(t) if use[i]]
+                each.append(got[0] + sum(map(math.log10, steps)))
+        most = max(each)
+        want.append((r.doc_id is None, r.doc_id or 0, most + math.log10(sum(10 ** (x - most) for x in each) / len(each))))
+    assert any(r.held for r in table) and any(w not in c for t in toks for w in t)
+    for frequent in (op5.FREQUENT, 10):
+        monkeypatch.setattr(op5, "FREQUENT", frequent)
+        out = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in op5.score(docs).collect())
+        assert [x[:2] for x in out] == [x[:2] for x in sorted(want)]
+        assert np.allclose([x[2] for x in out], [x[2] for x in sorted(want)], rtol=1e-5, atol=1e-4)
+
+
 def test_lm_compresses_held_out_text(spark):
     path = Path("/root/testdata/sf0.001/documents.parquet")
     if not path.exists():
