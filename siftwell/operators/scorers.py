@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import gumbel, hash_uniform, let, ngram_buckets, normal_words, py_words
 from ..session import written
 from ..sources.registry import SCORERS
+from . import bigrams
 from .filters import good_question
 from .select import ranked
 
@@ -135,27 +136,12 @@ class NgramLM:
     """Bigram model interpolated half and half with the unigram model, both add-``alpha``; the reference model here."""
 
     def __init__(self, train: DataFrame, alpha: float = 0.1) -> None:
-        self.bi = written(self.bigrams(train).groupBy("u", "v").agg(F.count(F.lit(1)).alias("cuv")), "bigrams")  # one pass over the texts
-        self.uni = self.bi.groupBy("v").agg(F.sum("cuv").alias("cv"))
-        self.left = self.bi.groupBy("u").agg(F.sum("cuv").alias("cu"))
-        self.total = self.uni.agg(F.sum("cv").alias("n"), F.count(F.lit(1)).alias("k"))
-        self.alpha = alpha
-
-    @staticmethod
-    def bigrams(df: DataFrame) -> DataFrame:
-        words = normal_words(F.col("text"))
-        pairs = df.select("uid", F.concat(F.array(F.lit("<s>")), words).alias("w"))
-        return pairs.where("size(w) > 1").select("uid", F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))).alias("g")).select("uid", "g.*")
+        self.train, self.index, self.alpha = train, bigrams.index(train), alpha  # one pass over the texts
 
     def nll(self, df: DataFrame) -> DataFrame:
-        """(uid, nll, n): sum of token losses and number of tokens; distinct pairs are counted before they are joined."""
-        grams = self.bigrams(df).groupBy("uid", "u", "v").agg(F.count(F.lit(1)).alias("times"))
-        rows = grams.join(self.bi, ["u", "v"], "left").join(self.left, "u", "left").join(self.uni, "v", "left").crossJoin(F.broadcast(self.total))
-        z = lambda c: F.coalesce(F.col(c), F.lit(0))
-        a, k = F.lit(self.alpha), F.col("k_")
-        rows = rows.select("uid", "times", "cuv", "cu", "cv", "n", F.col("k").alias("k_"))
-        p = 0.5 * (z("cuv") + a) / (z("cu") + a * k) + 0.5 * (z("cv") + a) / (F.col("n") + a * k)
-        return rows.groupBy("uid").agg(F.sum(-F.log(p) * F.col("times")).alias("nll"), F.sum("times").alias("n"))
+        """(uid, nll, n): sum of token losses and number of tokens; the texts it was trained on are not read again."""
+        rows = self.index if df is self.train else bigrams.index(df)
+        return bigrams.losses(self.index, rows, self.alpha)
 
 
 @SCORERS.register("perplexity")
@@ -166,13 +152,18 @@ class Perplexity(Scorer):
         if mode not in ("low", "mid", "high"):
             raise ValueError(f"mode {mode!r} is not low, mid or high")
         self.model, self.mode, self.median = model, mode, None
+        self.pool, self.losses = None, None
+
+    def _losses(self, df: DataFrame) -> DataFrame:
+        return self.model.nll(df).select("uid", (F.col("nll") / F.greatest(F.lit(1), F.col("n"))).alias("mean_nll"))
 
     def _mean(self, df: DataFrame) -> DataFrame:
-        losses = self.model.nll(df).select("uid", (F.col("nll") / F.greatest(F.lit(1), F.col("n"))).alias("mean_nll"))
+        losses = self.losses if df is self.pool else self._losses(df)
         return df.join(losses, "uid", "left").fillna(0.0, ["mean_nll"])
 
     def fit(self, pool: DataFrame) -> Perplexity:
         if self.mode == "mid":
+            self.pool, self.losses = pool, written(self._losses(pool), "losses")  # for the median and for the scores
             self.median = self._mean(pool).agg(F.median("mean_nll")).first()[0]
         return self
 

@@ -47,14 +47,16 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("uid"), F.col("vec_id").alias("pos"), "embedding", "label")
 
 
-def _lm(spark: SparkSession, d: str) -> scorers.NgramLM:
-    return scorers.NgramLM(_docs(spark, d))
+def _losses(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of the documents under a model of themselves."""
+    docs = _docs(spark, d)
+    return scorers.NgramLM(docs).nll(docs)
 
 
 def _perplexity(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         pool = _docs(spark, d)
-        out = scorers.Perplexity(_lm(spark, d), mode).fit(pool).transform(pool)
+        out = scorers.Perplexity(scorers.NgramLM(pool), mode).fit(pool).transform(pool)
         return out.select("uid", F.round("score", 9).alias("score"))
 
     return run
@@ -258,11 +260,11 @@ def queries() -> dict:
         "dsir_gumbel": lambda s, d: _dsir(s, d, True).select("uid", F.round("score", 6).alias("score")),
         "embed_centroid": lambda s, d: scorers.centroid(_vectors(s, d).where("label = 3")).select("i", F.round("c", 9).alias("c")),
         "embed_similarity": lambda s, d: scorers.EmbedSimilarity(_vectors(s, d).where("label = 3")).fit(_vectors(s, d)).transform(_vectors(s, d)).select("uid", F.round("score", 9).alias("score")),
-        "ngram_lm_nll": lambda s, d: _lm(s, d).nll(doc(s, d)).select("uid", F.round("nll", 6).alias("nll"), "n"),
+        "ngram_lm_nll": lambda s, d: _losses(s, d).select("uid", F.round("nll", 6).alias("nll"), "n"),
         "perplexity_low": _perplexity("low"),
         "perplexity_mid": _perplexity("mid"),
         "perplexity_high": _perplexity("high"),
-        "corpus_perplexity": lambda s, d: evaluate.perplexity_report(_lm(s, d).nll(doc(s, d))),
+        "corpus_perplexity": lambda s, d: evaluate.perplexity_report(_losses(s, d)),
         "percentile_rank": lambda s, d: _lengths(s, d).select("uid", F.round(scorers.percentile_rank(F.col("score"), F.col("pos"), ["lang"]), 9).alias("rank")),
         "quality_filter": lambda s, d: q(ship(s), d).where(filters.good_question(F.col("options"), F.col("question"))).select("uid"),
         "goldilocks": lambda s, d: scorers.ThreeDifficulties().transform(_difficulties(s, d)).where("score > double('-infinity')").select("uid"),
