@@ -20,7 +20,7 @@ from ..functions.words import coded, cut, joined, mixed, packed, parted, starts,
 from ..session import written
 
 #: Bytes of text whose words and pairs are counted together, and the buckets that these are dealt to.
-STRETCH, BUCKETS = 16 << 20, 1 << 10
+STRETCH, BUCKETS = 8 << 20, 1 << 10
 #: What stands before the first word of a text; no word is spelt so.
 START = "<s>"
 
