@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text
 from ..functions.words import coded, cut, joined, mixed, packed, parted, starts, sums, unpacked
 from ..session import written
 
@@ -42,7 +41,7 @@ def index(df: DataFrame) -> DataFrame:
                 cells = ([uuid.uuid4().hex], [uids], [packed(sizes[sizes > 0])], [packed(codes)], [size.to_bytes(8, "little") + spelt])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["stretch", "uids", "sizes", "codes", "words"])
 
-    return written(df.select("uid", normalize_text(F.col("text")).alias("text")).mapInArrow(run, INDEX), "stretches")
+    return written(df.select("uid", F.lower("text").alias("text")).mapInArrow(run, INDEX), "stretches")
 
 
 class Stretch:

@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import gumbel, hash_uniform, let, ngram_buckets, normal_words, py_words
+from ..functions.words import coded, cut, gram_crcs, sums
 from ..session import written
 from ..sources.registry import SCORERS
 from . import bigrams
 from .filters import good_question
 from .select import ranked
 
+#: Bytes of text that a task goes through at a time.
+STRETCH = 8 << 20
+
 
 class Scorer:
     """Without ``fit`` a scorer needs no pool. The same ``transform`` serves a pool and each batch of a stream."""
@@ -51,8 +56,17 @@ class Length(Scorer):
 
 
 def bucket_counts(df: DataFrame, n: int, buckets: int) -> DataFrame:
-    grams = ngram_buckets(normal_words(F.col("text")), n, buckets)
-    return df.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("cnt"))
+    """(bucket, cnt) of the n-grams of orders 1 to ``n`` of all texts; a task counts its own before they are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.int64)
+        for rows in cut(batches, "text", STRETCH):
+            for _, crc in gram_crcs(*coded(rows["text"].combine_chunks()), n):
+                counts += np.bincount(crc % buckets, minlength=buckets)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bucket", "cnt"])
+
+    return df.select(F.lower("text").alias("text")).mapInArrow(run, "bucket int, cnt long").groupBy("bucket").agg(F.sum("cnt").alias("cnt"))
 
 
 def bucket_model(df: DataFrame, n: int = 2, buckets: int = 10_000, alpha: float = 1.0) -> DataFrame:
@@ -81,10 +95,19 @@ class Dsir(Scorer):
 
     def weights(self, df: DataFrame) -> DataFrame:
         """``df`` with the mean ratio of its n-grams, looked up in a constant array; nothing is shuffled."""
-        table = F.expr("cast(split('" + ",".join(map(repr, self.ratios)) + "', ',') as array<double>)")
-        grams = ngram_buckets(normal_words(F.coalesce(F.col("text"), F.lit(""))), self.ngram, self.buckets)
-        mean = lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(table, x)) / F.size(b))
-        return df.withColumn("weight", let(grams, mean))
+        n, buckets, table = self.ngram, self.buckets, np.array(self.ratios)
+
+        @F.arrow_udf("double")
+        def mean(texts: pa.Array) -> pa.Array:
+            out = [np.zeros(0)]
+            for rows in cut([pa.RecordBatch.from_arrays([texts], ["text"])], "text", STRETCH):
+                total = count = np.zeros(rows.num_rows)
+                for sizes, crc in gram_crcs(*coded(rows["text"].combine_chunks()), n):
+                    total, count = total + sums(table[crc % buckets], sizes), count + sizes
+                out.append(total / np.maximum(count, 1))
+            return pa.array(np.concatenate(out))
+
+        return df.withColumn("weight", mean(F.lower("text")))
 
     def transform(self, df: DataFrame) -> DataFrame:
         score = F.col("weight")
