@@ -33,15 +33,16 @@ class TopKState:
         self.spark, self.capacity, self.group, self.root, self.last = spark, capacity, group, _shared(spark), None
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("uid", "score", "pos", (F.col(self.group) if self.group else F.lit("all")).alias("grp"))
-        stats = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.min("score").alias("least"), F.max("score").alias("most"))
+        scored = batch.select("uid", "score", "pos", (F.col(self.group) if self.group else F.lit("all")).alias("grp")).persist()  # for both tables
+        rows, stats = scored, scored.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.min("score").alias("least"), F.max("score").alias("most"))
         if self.last is not None:
-            rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/top-{self.last}"))
-            stats = stats.unionByName(self.spark.read.parquet(f"{self.root}/stats-{self.last}"))
+            rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(f"{self.root}/top-{self.last}"))
+            stats = stats.unionByName(self.spark.read.schema(stats.schema).parquet(f"{self.root}/stats-{self.last}"))
             stats = stats.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
         w = Window.partitionBy("grp").orderBy(F.desc("score"), "pos")
         rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= self.capacity).drop("_r").write.mode("overwrite").parquet(f"{self.root}/top-{batch_id}")
         stats.write.mode("overwrite").parquet(f"{self.root}/stats-{batch_id}")
+        scored.unpersist()
         self.last = batch_id
 
     def top(self) -> DataFrame:
