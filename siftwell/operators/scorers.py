@@ -73,8 +73,8 @@ def bucket_model(df: DataFrame, n: int = 2, buckets: int = 10_000, alpha: float
     """(bucket, logp) of all buckets, add-``alpha`` smoothed; ``buckets`` rows."""
     counts = bucket_counts(df, n, buckets)
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["cnt"])
-    total = every.agg(F.sum("cnt").alias("total"))
-    return every.crossJoin(F.broadcast(total)).select("bucket", F.log((F.col("cnt") + alpha) / (F.col("total") + alpha * buckets)).alias("logp"))
+    total = F.sum("cnt").over(Window.partitionBy(F.lit(0)))  # of ``buckets`` rows; a join would read the texts twice
+    return every.select("bucket", F.log((F.col("cnt") + alpha) / (total + alpha * buckets)).alias("logp"))
 
 
 @SCORERS.register("dsir")
@@ -203,29 +203,77 @@ def percentile_rank(value: Column, pos: Column, over: list[str] | None = None) -
     return 100.0 * (F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1))
 
 
+#: Centers whose distances to all points are taken at a time, and points among which the next ones are sought.
+CENTERS, NEAR = 64, 512
+
+
 def kcenter_order(points: np.ndarray) -> list[int]:
-    """Farthest-first order from the point nearest the mean; the first of equals."""
+    """Farthest-first order from the point nearest the mean; the first of equals.
+
+    Gaps only fall, so the next centers are sought among the points of greatest gap until these are all below the others.
+    Then all that are left meet the new centers at once: a matrix product tells, within its rounding error, which center
+    is nearest, and only for those is the distance itself taken.
+    """
     if not len(points):
         return []
     first = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     order, gap = [first], ((points - points[first]) ** 2).sum(axis=1)
-    for _ in range(len(points) - 1):
-        gap[order] = -1.0
-        order.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((points - points[order[-1]]) ** 2).sum(axis=1))
+    left = np.delete(np.arange(len(points)), first)  # in order, so that the first of equals is found first
+    rest, gap = points[left], gap[left]
+    while len(left):
+        most = min(NEAR, len(left))
+        bound = -1.0 if most == len(left) else np.partition(gap, len(gap) - most - 1)[len(gap) - most - 1]
+        if not gap.any():  # copies of centers, in order
+            return order + left.tolist()
+        near = np.flatnonzero(gap > bound)
+        if equal := not len(near):  # more are equal and greatest than can be looked at; the first of them
+            near = np.flatnonzero(gap == bound)[:most]
+        x, g, new = rest[near], gap[near].copy(), []
+        while len(new) < min(CENTERS, len(near)):
+            best = int(g.argmax())
+            if new and (g[best] < bound if equal else g[best] <= bound):
+                break
+            new.append(best)
+            g = np.minimum(g, ((x - x[best]) ** 2).sum(axis=1))
+            g[new] = -1.0
+        order += left[near[new]].tolist()
+        gap[near] = g
+        keep = np.ones(len(left), bool)
+        keep[near[new]] = False
+        others = np.ones(len(left), bool)
+        others[near] = False
+        _lower(rest, gap, np.flatnonzero(others), x[new])
+        left, rest, gap = left[keep], rest[keep], gap[keep]
     return order
 
 
+def _lower(points: np.ndarray, gap: np.ndarray, which: np.ndarray, centers: np.ndarray) -> None:
+    """Lower the gaps of the points ``which`` to their squared distance from the nearest of ``centers``, as ``kcenter_order`` takes it."""
+    c = (centers**2).sum(axis=1)
+    for at in range(0, len(which), 4096):
+        rows = which[at : at + 4096]
+        x = points[rows]
+        s = (x**2).sum(axis=1)
+        error = 1e-12 * (s[:, None] + c)
+        least = s[:, None] + c - 2.0 * (x @ centers.T) - error
+        i, j = np.nonzero((least < gap[rows][:, None]) & (least <= (least + 2.0 * error).min(axis=1)[:, None]))
+        for k in range(0, len(i), 16384):
+            u, v = i[k : k + 16384], j[k : k + 16384]
+            np.minimum.at(gap, rows[u], ((x[u] - centers[v]) ** 2).sum(axis=1))
+
+
 def kcenter(df: DataFrame, group: str, column: str = "embedding") -> DataFrame:
     """(pos, rank) by group in farthest-first order; for the survivors of a filter, whose number is the caller's to bound."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        order = kcenter_order(np.stack(pdf[column].to_numpy()).astype(float))
-        return pd.DataFrame({group: pdf[group].iloc[order], "pos": pdf["pos"].iloc[order], "rank": np.arange(len(order))})
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos").combine_chunks()
+        vectors = table[column].combine_chunks()
+        points = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1).astype(float)
+        order = pa.array(kcenter_order(points), pa.int64())
+        return pa.table([table[group].take(order), table["pos"].take(order), pa.array(np.arange(len(order)), pa.int64())], names=[group, "pos", "rank"])
 
     kind = df.schema[group].dataType.simpleString()
-    return df.select(group, "pos", column).groupBy(group).applyInPandas(run, f"{group} {kind}, pos long, rank long")
+    return df.select(group, F.col("pos").cast("long").alias("pos"), column).groupBy(group).applyInArrow(run, f"{group} {kind}, pos long, rank long")
 
 
 @SCORERS.register("3ds")
